@@ -263,13 +263,13 @@ def polynomial(
     values, with square root and log where every value allows it."""
     numeric = set(stats.numeric_columns(df))
     cols = [c for c in names if c in numeric]
+    distinct = stats.distinct_counts(df, cols)
     found = stats.fused(df, {
-        **{("d", c): F.count_distinct(c) for c in cols},
         **{("lo", c): F.min(c) for c in cols},
         **{("gap", c): F.count_if(F.col(c).isNull()) for c in cols},
     })
     new: dict[str, Column] = {}
-    chosen = [c for c in cols if found[("d", c)] >= min_distinct]
+    chosen = [c for c in cols if distinct[c] >= min_distinct]
     for c in chosen:
         for k in range(2, degree + 1):
             new[f"{c}_Poly_{k}"] = F.pow(F.col(c), F.lit(k))

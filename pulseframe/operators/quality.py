@@ -7,7 +7,6 @@ duplicates) are grouped by Spark first.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,10 +22,8 @@ def _listed(parts: Sequence[Column]) -> Column:
     return F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
 
 
-def half_up(x: float | None, digits: int = 3) -> float | None:
-    if x is None:
-        return None
-    return math.floor(x * 10 ** digits + 0.5) / 10 ** digits
+def _r3(x: float | None) -> float | None:
+    return None if x is None else round(x, 3)
 
 
 def one_row(df: DataFrame, schema: str, *values) -> DataFrame:
@@ -140,19 +137,19 @@ def validate_columns(
     numeric = set(stats.numeric_columns(df))
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"k{i}"), F.count_distinct(c).alias(f"d{i}")]
+        aggs.append(F.count(c).alias(f"k{i}"))
         if c in ranges and c in numeric:
             lo, hi = ranges[c]
             aggs.append(F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"r{i}"))
     rows = [F.struct(
         F.lit(c).alias("column"), F.col("n"), F.col(f"k{i}").alias("present"),
-        F.col(f"d{i}").alias("unique_values"),
         (F.col(f"r{i}") if c in ranges and c in numeric else F.lit(0).cast("long")).alias("out_of_range"),
     ) for i, c in enumerate(cols)]
     long = df.agg(*aggs).select(F.inline(F.array(*rows)))
     missing = F.lit(1.0) - F.col("present") / F.col("n")
     outside = F.col("out_of_range") / F.col("n")
-    joined = long.join(_category_misses(df, {c: v for c, v in categories.items() if c in cols}, 5), "column", "left")
+    misses = _category_misses(df, {c: v for c, v in categories.items() if c in cols}, 5)
+    joined = long.join(stats.distinct_table(df, cols), "column", "left").join(misses, "column", "left")
     errors = [F.when(missing > 0.5, "missing_over_50_percent"), F.when(outside > 0.1, "out_of_range_over_10_percent")]
     warnings = [
         F.when((missing > 0.2) & (missing <= 0.5), "missing_over_20_percent"),
@@ -160,8 +157,8 @@ def validate_columns(
         F.when(F.col("invalid_categories").isNotNull(), "invalid_categories"),
     ]
     return joined.select(
-        "column", F.round(F.col("present") / F.col("n"), 6).alias("completeness"), "unique_values",
-        "out_of_range", "invalid_categories",
+        "column", F.round(F.col("present") / F.col("n"), 6).alias("completeness"),
+        F.coalesce("unique_values", F.lit(0)).alias("unique_values"), "out_of_range", "invalid_categories",
         F.array_join(_listed(errors), ", ").alias("errors"),
         F.array_join(_listed(warnings), ", ").alias("warnings"),
     ).withColumn("valid", F.col("errors") == "")
@@ -192,7 +189,7 @@ REPORT = ("is_valid boolean, quality_score double, error_count int, warning_coun
 
 
 def _report(df: DataFrame, score, errors, warnings, total, valid, advice) -> DataFrame:
-    return one_row(df, REPORT, not errors, half_up(score), len(errors), len(warnings), "; ".join(errors),
+    return one_row(df, REPORT, not errors, _r3(score), len(errors), len(warnings), "; ".join(errors),
                    "; ".join(warnings), total, valid, total - valid, "; ".join(advice))
 
 
@@ -437,14 +434,14 @@ def quality_dimensions(
     invalid = int("age" in numeric and found["young"] > n * 0.1)
     stale = max(0.0, 1 - found["age_days"] / 365) if dates and found["age_days"] is not None else 1.0
     rows = [
-        ("completeness", half_up(filled / (n * len(df.columns))), n * len(df.columns) - filled),
-        ("consistency", half_up(max(0.0, 1 - mixed / 10)), mixed),
-        ("accuracy", half_up(max(0.0, 1 - outside / 20)), outside),
-        ("validity", half_up(max(0.0, 1 - invalid / 10)), invalid),
-        ("uniqueness", half_up(1 - copies / n), copies + key_copies),
-        ("timeliness", half_up(stale), found.get("age_days") or 0),
+        ("completeness", _r3(filled / (n * len(df.columns))), n * len(df.columns) - filled),
+        ("consistency", _r3(max(0.0, 1 - mixed / 10)), mixed),
+        ("accuracy", _r3(max(0.0, 1 - outside / 20)), outside),
+        ("validity", _r3(max(0.0, 1 - invalid / 10)), invalid),
+        ("uniqueness", _r3(1 - copies / n), copies + key_copies),
+        ("timeliness", _r3(stale), found.get("age_days") or 0),
     ]
-    rows.append(("overall", half_up(sum(r[1] for r in rows) / 6), sum(r[2] for r in rows[1:4])))
+    rows.append(("overall", _r3(sum(r[1] for r in rows) / 6), sum(r[2] for r in rows[1:4])))
     return df.sparkSession.createDataFrame(rows, "dimension string, score double, findings long")
 
 

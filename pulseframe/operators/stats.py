@@ -70,10 +70,30 @@ def adjusted_kurtosis(col: Column) -> Column:
     return F.when(n >= 4, scaled)
 
 
+def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value as text) pairs of the non-null cells."""
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    return texts.unpivot([], list(cols), "column", "value").where(F.col("value").isNotNull())
+
+
+def distinct_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row per column with its number of distinct non-null values.
+
+    Values are grouped before they are counted, so no task holds a set of them.
+    """
+    values = long_values(df, cols).groupBy("column", "value").agg(F.lit(1).alias("one"))
+    return values.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
+
+
 def distinct_counts(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> dict[str, int]:
     """Distinct non-null values per column, in one job."""
-    fn = F.approx_count_distinct if approximate else F.count_distinct
-    return fused(df, {c: fn(F.col(c)) for c in cols})
+    cols = list(cols)
+    if approximate:
+        return fused(df, {c: F.approx_count_distinct(F.col(c)) for c in cols})
+    if not cols:
+        return {}
+    found = {r["column"]: r["unique_values"] for r in distinct_table(df, cols).collect()}
+    return {c: found.get(c, 0) for c in cols}
 
 
 def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
@@ -85,9 +105,7 @@ def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
     cols = list(cols)
     if not cols:
         return {}
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-    long = long.unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = long_values(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("k"), "value")).alias("b"))
     found = {r["column"]: r["b"]["value"] for r in best.collect()}
     return {c: found.get(c) for c in cols}

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pulseframe.functions import risk
 from pulseframe.functions import text as tx
 from pulseframe.operators import evaluation, stats
+from pulseframe.session import materialize, spread
 
 DIGITS = 12  # bits looked at per round of the split search
 
@@ -192,7 +193,7 @@ def _evaluator(task: str, label: str, metric: str | None):
 def _packed(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> tuple[DataFrame, list]:
     """Number columns plus label, and the stages that turn them into a vector."""
     rows = df.where(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double"))
-    rows = prepare_features(rows, features, ["label", *[k for k in keep if k not in features]])
+    rows = spread(prepare_features(rows, features, ["label", *[k for k in keep if k not in features]]))
     return rows, feature_stages(rows, features)
 
 
@@ -250,8 +251,6 @@ def search(df: DataFrame, features: Sequence[str], label: str, kind: str, keys:
     The vector table is written once to the shared folder: every fold and
     setting reads it instead of computing the features again.
     """
-    from pulseframe.session import materialize
-
     rows, stages = _packed(df, features, label, keys)
     ready = Pipeline(stages=stages).fit(rows).transform(with_folds(rows, keys, k))
     ready = materialize(ready.select("label", "features", "fold"), "folds")
@@ -278,8 +277,6 @@ def search_table(model: CrossValidatorModel, spark) -> DataFrame:
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, kind: str, keys: Sequence[str],
                    k: int = 5, **params) -> DataFrame:
     """r2, negated mse and negated mae of a regression, per held-out fold."""
-    from pulseframe.session import materialize
-
     rows, stages = _packed(df, features, label, keys)
     ready = Pipeline(stages=stages).fit(rows).transform(with_folds(rows, keys, k))
     ready = materialize(ready.select("label", "features", "fold"), "folds")
@@ -308,8 +305,6 @@ def fold_summary(folds: DataFrame) -> DataFrame:
 def learning_curve(df: DataFrame, features: Sequence[str], label: str, kind: str, keys: Sequence[str],
                    sizes: int = 10, k: int = 5, **params) -> DataFrame:
     """r2 on training rows and on held-out folds for nested training shares 0.1…1."""
-    from pulseframe.session import materialize
-
     rows, stages = _packed(df, features, label, keys)
     hashed = with_folds(rows, keys, k).withColumn(
         "slot", tx.hash_bucket([*[F.col(c) for c in keys], F.lit("curve")], 10_000))
@@ -341,8 +336,6 @@ def bootstrap_stability(df: DataFrame, features: Sequence[str], label: str, kind
     All models score the same row side by side, so the per-row deviation is
     column arithmetic and nothing is shuffled by row.
     """
-    from pulseframe.session import materialize
-
     rows, stages = _packed(df, features, label)
     ready = Pipeline(stages=stages).fit(rows).transform(rows).select("label", "features")
     ready = materialize(ready, "bootstrap")

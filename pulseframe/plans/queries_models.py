@@ -162,7 +162,7 @@ def _(t: Tables):
 
 @query("x17_feature_job")
 def _(t: Tables):
-    _, report = jobs.feature_job(t.survey_gaps.drop("sid", "Education"), k=12, path=work_dir(t.spark, "features"), step=10)
+    _, report = jobs.feature_job(t.survey_gaps.drop("sid", "Education"), k=20, path=work_dir(t.spark, "features"), step=30)
     return report
 
 
@@ -228,7 +228,7 @@ def _(t: Tables):
     split = training.stratified_split(t.survey, ["sid"], "HeartDisease")
     train, test = split.where("not is_test"), split.where("is_test")
     out = None
-    for kind, params in (("logistic_regression", {}), ("linear_svm", {}), ("random_forest", {"numTrees": 20, "maxDepth": 5}),
+    for kind, params in (("logistic_regression", {}), ("linear_svm", {"maxIter": 25}), ("random_forest", {"numTrees": 20, "maxDepth": 5}),
                          ("gradient_boosting", {"maxIter": 10})):
         model = training.fit(train, SURVEY_FEATURES, "HeartDisease", kind, "classification", **params)
         scored = training.predict(model, test, SURVEY_FEATURES, ["HeartDisease"], "score")
@@ -578,3 +578,11 @@ def _(t: Tables):
 @query("m34_robustness_job")
 def _(t: Tables):
     return rounded(jobs.robustness_job(t.survey, SURVEY_FEATURES[:4], "HeartDisease", "ridge", ["sid"], k=3, sizes=3, refits=5))
+
+
+@query("i7_impute_knn")
+def _(t: Tables):
+    """No SQL twin: a nearest-neighbour search over whole tables; tested against brute force."""
+    from pulseframe.operators import knn
+    rows = t.patients.select("patient_id", "age", "systolic_bp", "diastolic_bp", "total_cholesterol")
+    return rounded(knn.impute_knn(rows, ["age", "systolic_bp", "diastolic_bp", "total_cholesterol"]))

@@ -54,3 +54,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = work_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least a partition per core for data that is scanned many times.
+
+    Tables of few files are redistributed once; large tables are left alone.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= want else df.repartition(want)

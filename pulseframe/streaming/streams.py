@@ -36,8 +36,8 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], name: str, mode: str = "append") -> None:
-    state = work_dir(stream.sparkSession, f"{name}-state")
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], state: str, mode: str = "append") -> None:
+    """Process what has arrived since the last run that used the folder ``state``."""
     query = (stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", state)
              .trigger(availableNow=True).start())
     query.awaitTermination()
@@ -66,7 +66,7 @@ def live_statistics(df: DataFrame, ts: str = "created_at", span: str = "1 hour",
         F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         F.date_format("w.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "total_predictions",
         "low_count", "medium_count", "high_count",
-        F.round(F.col("score_sum") / F.col("total_predictions"), 4).alias("average_risk_score"))
+        F.round(F.col("score_sum") / F.col("total_predictions"), 8).alias("average_risk_score"))
 
 
 def fixed_window_counts(df: DataFrame, key: str, ts: str = "ts", span: str = "60 seconds", limit: int = 100,
@@ -104,16 +104,16 @@ def alert_rows(df: DataFrame, score: str = "risk_score", threshold: float = risk
     return df.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
-def alert_stream(stream: DataFrame, path: str, name: str = "alerts") -> None:
+def alert_stream(stream: DataFrame, path: str) -> None:
     """Append the alerts of every micro-batch to a file table, marked with its number.
 
     The batch number is the folder name: a batch repeated after a failure
     replaces its own output.
     """
     def write(batch: DataFrame, number: int) -> None:
-        alert_rows(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        alert_rows(batch).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    run_batches(stream, write, name)
+    run_batches(stream, write, f"{path}/state")
 
 
 def daily_trend_stream(df: DataFrame, ts: str = "created_at", delay: str = "1 day") -> DataFrame:
@@ -161,8 +161,8 @@ def current_state(spark: SparkSession, path: str, keys: list[str], schema: T.Str
     return newest.select(*keys, "_v.*").select(*schema.names)
 
 
-def incremental_ingest(stream: DataFrame, path: str, keys: list[str], version: str, name: str = "ingest") -> DataFrame:
-    """Merge every micro-batch of landed files into a keyed table.
+def incremental_ingest(stream: DataFrame, path: str, keys: list[str], version: str) -> DataFrame:
+    """Merge the files landed since the last run into a keyed table.
 
     A batch appends only its new and changed rows, in a folder of its own
     number; a repeated batch rewrites that folder. Returns the counts per batch.
@@ -185,5 +185,5 @@ def incremental_ingest(stream: DataFrame, path: str, keys: list[str], version: s
                     (F.lit(received) - F.col("inserted") - F.col("updated")).cast("long").alias("skipped")) \
             .write.mode("overwrite").parquet(f"{path}/counts/run={number}")
 
-    run_batches(stream, merge, name)
+    run_batches(stream, merge, f"{path}/state")
     return spark.read.option("basePath", f"{path}/counts").parquet(f"{path}/counts").drop("run")

@@ -119,14 +119,19 @@ def percent_ranks(
 
 
 def next_in_group(
-    df: DataFrame, group: Sequence[str], order: str, chunk: Column, out: str = "next_value"
+    df: DataFrame, group: Sequence[str], order: str, chunk: Column, out: str = "next_value",
+    hot_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """``lead(order)`` per group, split so that one busy group spans many tasks.
+    """``lead(order)`` per group; groups too large for one task are split.
 
-    ``chunk`` must not decrease with ``order`` (for example a month). Inside a
-    chunk a window finds the next row; the last row of a chunk takes the
-    earliest value of the group's next non-empty chunk.
+    The group sizes decide: when every group fits a task one window does. Else
+    ``chunk``, which must not decrease with ``order`` (for example a month),
+    splits the groups: a window finds the next row inside a chunk, and the last
+    row of a chunk takes the earliest value of the group's next chunk.
     """
+    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0]
+    if (largest or 0) <= hot_rows:
+        return df.withColumn(out, F.lead(order).over(Window.partitionBy(*group).orderBy(order)))
     data = df.withColumn("_c", chunk)
     inside = Window.partitionBy(*group, "_c").orderBy(order)
     data = data.withColumn("_n", F.lead(order).over(inside))
@@ -137,7 +142,7 @@ def next_in_group(
         F.lead("_first").over(across).alias("_follow"))
     match = F.col("_c") == F.col("_gc")
     for g in group:
-        match = match & (F.col(g) == F.col(f"_g_{g}"))
+        match = match & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
     joined = data.join(nexts, match, "left")
     return (joined.withColumn(out, F.coalesce("_n", "_follow"))
             .drop("_c", "_n", "_gc", "_follow", *[f"_g_{g}" for g in group]))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 # A percentile aggregate keeps one map entry per distinct value. Above this many
 # distinct values exact quantiles are found by bracketing instead.
-DISTINCT_BOUND = 200_000
+DISTINCT_BOUND = 100_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -142,68 +143,97 @@ def quantiles(
         else:
             wide.append((i, c))
     out.update({c: list(v) for c, v in fused(data, narrow).items()})
+    wanted: dict[str, list[float]] = {}
+    for i, c in wide:
+        wanted[f"c{i}"] = [(head[("n", i)] - 1) * float(p) for p in spec[c]]
+    ranks = {x: sorted({r for at in places for r in (math.floor(at), math.ceil(at))}) for x, places in wanted.items()}
+    rows = {f"c{i}": head[("n", i)] for i, _ in wide}
+    values = _order_statistics(data, rows, ranks, distinct_bound) if wide else {}
     for i, c in wide:
-        n = head[("n", i)]
-        positions = [(n - 1) * float(p) for p in spec[c]]
-        ranks = sorted({r for x in positions for r in (math.floor(x), math.ceil(x))})
-        values = _order_statistics(data.select(F.col(f"c{i}").alias("x")).where("x is not null"),
-                                   n, ranks, distinct_bound)
         out[c] = []
-        for x in positions:
-            lo, hi = values[math.floor(x)], values[math.ceil(x)]
-            out[c].append(lo if lo == hi else lo + (hi - lo) * (x - math.floor(x)))
+        for at in wanted[f"c{i}"]:
+            lo, hi = values[(f"c{i}", math.floor(at))], values[(f"c{i}", math.ceil(at))]
+            out[c].append(lo if lo == hi else lo + (hi - lo) * (at - math.floor(at)))
     return out
 
 
-def _order_statistics(data: DataFrame, n: int, ranks: Sequence[int], bound: int) -> dict[int, float]:
-    """Values at the given 0-based ranks of column ``x`` without sorting the table."""
-    found: dict[int, float] = {}
-    # (rank wanted, rank offset of the bracket, lower value, upper value, rows inside)
-    open_ = [(r, 0, None, None, n) for r in ranks]
-    slack = 2.0 / SKETCH_ACCURACY
+@dataclass
+class _Search:
+    """A rank looked for in column ``col`` among the ``rows`` values of [lo, hi]."""
+
+    col: str
+    rank: int
+    below: int
+    lo: float | None
+    hi: float | None
+    rows: int
+    slack: float
+
+    def span(self) -> list[float]:
+        p = (self.rank - self.below + 0.5) / self.rows
+        return [max(0.0, p - self.slack), min(1.0, p + self.slack)]
+
+
+def _order_statistics(
+    data: DataFrame, rows: Mapping[str, int], ranks: Mapping[str, Sequence[int]], bound: int
+) -> dict[tuple[str, int], float]:
+    """Values at 0-based ranks of several columns, without sorting any of them.
+
+    Every round is one sketch pass and one counting pass for all columns; ranks
+    that share a bracket share its sketch. A last pass groups the few values
+    left inside the brackets.
+    """
+    found: dict[tuple[str, int], float] = {}
+    ready: dict[tuple[str, float, float, int], list[int]] = {}
+    open_ = [_Search(c, r, 0, None, None, rows[c], 2.0 / SKETCH_ACCURACY) for c in ranks for r in ranks[c]]
     while open_:
-        probes = {}
-        for k, (r, below, lo, hi, m) in enumerate(open_):
-            inside = _between(lo, hi)
-            p = (r - below + 0.5) / m
-            span = F.array(F.lit(max(0.0, p - slack)), F.lit(min(1.0, p + slack)))
-            probes[k] = F.percentile_approx(F.when(inside, F.col("x")), span, SKETCH_ACCURACY)
-        spans = fused(data, probes)
-        tallies = {}
-        for k in range(len(open_)):
-            lo, hi = spans[k]
-            tallies[("b", k)] = F.count_if(F.col("x") < F.lit(lo))
-            tallies[("m", k)] = F.count_if(_between(lo, hi))
-        seen = fused(data, tallies)
-        again, gather = [], {}
-        for k, (r, below, old_lo, old_hi, m) in enumerate(open_):
-            lo, hi = spans[k]
-            b, inside = seen[("b", k)], seen[("m", k)]
-            if not b <= r < b + inside:
-                slack *= 4
-                again.append((r, below, old_lo, old_hi, m))
+        shared: dict[tuple, list[_Search]] = {}
+        for s in open_:
+            shared.setdefault((s.col, s.lo, s.hi), []).append(s)
+        spans = fused(data, {
+            key: F.percentile_approx(F.when(_between(*key), F.col(key[0])),
+                                     F.array(*[F.lit(p) for s in group for p in s.span()]), SKETCH_ACCURACY)
+            for key, group in shared.items()})
+        tried = []
+        for key, group in shared.items():
+            marks = spans[key]
+            tried += [(s, marks[2 * i], marks[2 * i + 1]) for i, s in enumerate(group)]
+        brackets = {(s.col, lo, hi) for s, lo, hi in tried}
+        counts = fused(data, {
+            **{("b", k): F.count_if(F.col(k[0]) < F.lit(k[1])) for k in brackets},
+            **{("m", k): F.count_if(_between(*k)) for k in brackets}})
+        open_ = []
+        for s, lo, hi in tried:
+            below, inside = counts[("b", (s.col, lo, hi))], counts[("m", (s.col, lo, hi))]
+            if not below <= s.rank < below + inside:
+                open_.append(replace(s, slack=s.slack * 4))
             elif lo == hi:
-                found[r] = lo
+                found[(s.col, s.rank)] = lo
             elif inside <= bound:
-                gather.setdefault((lo, hi, b), []).append(r)
+                ready.setdefault((s.col, lo, hi, below), []).append(s.rank)
             else:
-                again.append((r, b, lo, hi, inside))
-        for (lo, hi, b), wanted in gather.items():
-            groups = data.where(_between(lo, hi)).groupBy("x").agg(F.count(F.lit(1)).alias("k"))
-            at = b
-            for value, k in sorted((g["x"], g["k"]) for g in groups.collect()):
-                for r in wanted:
+                open_.append(_Search(s.col, s.rank, below, lo, hi, inside, 2.0 / SKETCH_ACCURACY))
+    if ready:
+        keys = list(ready)
+        hits = [F.when(_between(c, lo, hi), F.struct(F.lit(i).alias("i"), F.col(c).alias("x")))
+                for i, (c, lo, hi, _) in enumerate(keys)]
+        cells = data.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).groupBy("h.i", "h.x").count()
+        grouped: dict[int, list] = {}
+        for g in cells.collect():
+            grouped.setdefault(g["i"], []).append((g["x"], g["count"]))
+        for i, (c, _, _, at) in enumerate(keys):
+            for value, k in sorted(grouped.get(i, [])):
+                for r in ready[keys[i]]:
                     if at <= r < at + k:
-                        found[r] = value
+                        found[(c, r)] = value
                 at += k
-        open_ = again
     return found
 
 
-def _between(lo: float | None, hi: float | None) -> Column:
+def _between(col: str, lo: float | None, hi: float | None) -> Column:
     if lo is None:
-        return F.lit(True)
-    return (F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi))
+        return F.col(col).isNotNull()
+    return (F.col(col) >= F.lit(lo)) & (F.col(col) <= F.lit(hi))
 
 
 def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> dict[str, tuple[float, float]]:

@@ -100,17 +100,18 @@ def prepare_features(df: DataFrame, features: Sequence[str], keep: Sequence[str]
     return df.select(*keep, *[_as_number(df, c).alias(c) for c in features])
 
 
-def scaling_stage(df: DataFrame, features: Sequence[str]) -> SQLTransformer:
-    """Population scaling as a stage that is saved with the model."""
+def scaling_stage(df: DataFrame, features: Sequence[str]) -> tuple[SQLTransformer, int]:
+    """Population scaling as a stage that is saved with the model, and the row count."""
     found = stats.fused(df, {
+        "n": F.count(F.lit(1)),
         **{("m", c): F.avg(c) for c in features}, **{("s", c): F.stddev_pop(c) for c in features}})
-    cols = [f"(`{c}` - ({found[('m', c)]!r}D)) / {(found[('s', c)] or 1.0)!r}D AS `{c}__z`" for c in features]
-    return SQLTransformer(statement=f"SELECT *, {', '.join(cols)} FROM __THIS__")
+    cols = [f"(`{c}` - ({found[('m', c)] or 0.0!r}D)) / {(found[('s', c)] or 1.0)!r}D AS `{c}__z`" for c in features]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(cols)} FROM __THIS__"), found["n"]
 
 
-def feature_stages(df: DataFrame, features: Sequence[str], out: str = "features") -> list:
-    return [scaling_stage(df, features),
-            VectorAssembler(inputCols=[f"{c}__z" for c in features], outputCol=out)]
+def feature_stages(df: DataFrame, features: Sequence[str], out: str = "features") -> tuple[list, int]:
+    scale, n = scaling_stage(df, features)
+    return [scale, VectorAssembler(inputCols=[f"{c}__z" for c in features], outputCol=out)], n
 
 
 # -- registries ---------------------------------------------------------------
@@ -190,19 +191,20 @@ def _evaluator(task: str, label: str, metric: str | None):
                                          metricName=metric or "areaUnderROC")
 
 
-def _packed(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> tuple[DataFrame, list]:
-    """Number columns plus label, and the stages that turn them into a vector."""
+def packed(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> tuple[DataFrame, list, int]:
+    """Number columns plus label, the stages that turn them into a vector, and the row count."""
     rows = df.where(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double"))
-    rows = spread(prepare_features(rows, features, ["label", *[k for k in keep if k not in features]]))
-    return rows, feature_stages(rows, features)
+    rows = prepare_features(rows, features, ["label", *[k for k in keep if k not in features]])
+    return rows, *feature_stages(rows, features)
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str, kind: str, task: str = "regression",
         **params) -> PipelineModel:
-    rows, stages = _packed(df, features, label)
+    rows, stages, n = packed(df, features, label)
     make = regressor if task == "regression" else classifier
-    estimator = make(kind, rows.count(), **params)
-    return Pipeline(stages=[*stages, estimator]).fit(rows)
+    estimator = make(kind, n, **params)
+    # The linear solver reads the rows once; the others come back many times.
+    return Pipeline(stages=[*stages, estimator]).fit(rows if isinstance(estimator, LinearRegression) else spread(rows))
 
 
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Sequence[str],
@@ -251,10 +253,9 @@ def search(df: DataFrame, features: Sequence[str], label: str, kind: str, keys:
     The vector table is written once to the shared folder: every fold and
     setting reads it instead of computing the features again.
     """
-    rows, stages = _packed(df, features, label, keys)
+    rows, stages, n = packed(df, features, label, keys)
     ready = Pipeline(stages=stages).fit(rows).transform(with_folds(rows, keys, k))
-    ready = materialize(ready.select("label", "features", "fold"), "folds")
-    n = ready.count()
+    ready = spread(materialize(ready.select("label", "features", "fold"), "folds"))
     make, grids = (regressor, REGRESSOR_GRIDS) if task == "regression" else (classifier, CLASSIFIER_GRIDS)
     estimator = make(kind, n, **params)
     scale = float(n) if kind in PER_ROW_PENALTY else 1.0
@@ -277,7 +278,7 @@ def search_table(model: CrossValidatorModel, spark) -> DataFrame:
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, kind: str, keys: Sequence[str],
                    k: int = 5, **params) -> DataFrame:
     """r2, negated mse and negated mae of a regression, per held-out fold."""
-    rows, stages = _packed(df, features, label, keys)
+    rows, stages, n = packed(df, features, label, keys)
     ready = Pipeline(stages=stages).fit(rows).transform(with_folds(rows, keys, k))
     ready = materialize(ready.select("label", "features", "fold"), "folds")
     parts = []
@@ -305,7 +306,7 @@ def fold_summary(folds: DataFrame) -> DataFrame:
 def learning_curve(df: DataFrame, features: Sequence[str], label: str, kind: str, keys: Sequence[str],
                    sizes: int = 10, k: int = 5, **params) -> DataFrame:
     """r2 on training rows and on held-out folds for nested training shares 0.1…1."""
-    rows, stages = _packed(df, features, label, keys)
+    rows, stages, n = packed(df, features, label, keys)
     hashed = with_folds(rows, keys, k).withColumn(
         "slot", tx.hash_bucket([*[F.col(c) for c in keys], F.lit("curve")], 10_000))
     ready = Pipeline(stages=stages).fit(rows).transform(hashed)
@@ -336,7 +337,7 @@ def bootstrap_stability(df: DataFrame, features: Sequence[str], label: str, kind
     All models score the same row side by side, so the per-row deviation is
     column arithmetic and nothing is shuffled by row.
     """
-    rows, stages = _packed(df, features, label)
+    rows, stages, _ = packed(df, features, label)
     ready = Pipeline(stages=stages).fit(rows).transform(rows).select("label", "features")
     ready = materialize(ready, "bootstrap")
     out = ready

@@ -155,7 +155,7 @@ def _(t: Tables):
 @query("x16_feature_stages")
 def _(t: Tables):
     rows = t.survey_gaps.select("sid", F.struct("sid").alias("key"), "Age", "BMI", "Sex", "GenHlth", "HighBP", "HeartDisease").drop("sid")
-    out = jobs.feature_pipeline(rows, "HeartDisease", 5).fit(rows).transform(rows)
+    out = jobs.feature_estimator(rows, "HeartDisease", 5).fit(rows).transform(rows)
     from pyspark.ml.functions import vector_to_array
     return out.select("key.sid", vector_to_array("selected").alias("selected"))
 

@@ -28,6 +28,14 @@ def test_quantiles_are_exact_on_both_paths(spark, values, bound):
     assert got == pytest.approx(np.quantile(values, PROBS).tolist(), rel=1e-12)
 
 
+def test_several_wide_columns_share_the_passes(spark, values):
+    shifted = [v * 2 + 1 for v in values]
+    df = spark.createDataFrame(list(zip(values, shifted)), "x double, y double")
+    got = stats.quantiles(df, {"x": [0.3, 0.5], "y": [0.25, 0.9]}, distinct_bound=50)
+    assert got["x"] == pytest.approx(np.quantile(values, [0.3, 0.5]).tolist(), rel=1e-12)
+    assert got["y"] == pytest.approx(np.quantile(shifted, [0.25, 0.9]).tolist(), rel=1e-12)
+
+
 def test_quantiles_of_empty_and_constant_columns(spark):
     df = spark.createDataFrame([(None, 4.0), (None, 4.0)], "a double, b double")
     assert stats.quantiles(df, {"a": [0.5], "b": [0.1, 0.9]}) == {"a": [None], "b": [4.0, 4.0]}
@@ -82,11 +90,12 @@ def test_index_values_of_text(spark, chunk):
     assert got == {w: i for i, w in enumerate(sorted(set(words)))}
 
 
-def test_next_in_group_across_chunks(spark):
+@pytest.mark.parametrize("hot", [10 ** 6, 2])
+def test_next_in_group_across_chunks(spark, hot):
     days = [("a", d) for d in (1, 2, 15, 40, 41, 95)] + [("b", 3)]
     df = spark.createDataFrame(days, "g string, d int")
     got = {(r["g"], r["d"]): r["n"] for r in
-           ordered.next_in_group(df, ["g"], "d", F.floor(F.col("d") / 30), "n").collect()}
+           ordered.next_in_group(df, ["g"], "d", F.floor(F.col("d") / 30), "n", hot).collect()}
     assert got == {("a", 1): 2, ("a", 2): 15, ("a", 15): 40, ("a", 40): 41, ("a", 41): 95, ("a", 95): None, ("b", 3): None}
 
 

@@ -263,7 +263,7 @@ def polynomial(
     values, with square root and log where every value allows it."""
     numeric = set(stats.numeric_columns(df))
     cols = [c for c in names if c in numeric]
-    distinct = stats.distinct_counts(df, cols)
+    distinct = stats.distinct_up_to(df, cols, min_distinct)
     found = stats.fused(df, {
         **{("lo", c): F.min(c) for c in cols},
         **{("gap", c): F.count_if(F.col(c).isNull()) for c in cols},

@@ -53,10 +53,18 @@ def impute_mean(df: DataFrame, cols: Sequence[str] | None = None, known: Mapping
 
 
 def impute_mode(df: DataFrame, cols: Sequence[str] | None = None, default: str = "unknown") -> DataFrame:
-    """Most frequent text; ties → smallest; a column with no value → ``default``."""
+    """Most frequent text; ties → smallest; a column with no value → ``default``.
+
+    Only columns with gaps are counted: grouping a text column moves its values.
+    """
     cols = stats.string_columns(df) if cols is None else list(cols)
+    _, nulls = stats.null_counts(df, cols)
+    return _fill(df, _mode_values(df, [c for c in cols if nulls[c]], default))
+
+
+def _mode_values(df: DataFrame, cols: Sequence[str], default: str) -> dict[str, str]:
     found = stats.modes(df, cols)
-    return _fill(df, {c: default if found[c] is None else found[c] for c in cols})
+    return {c: default if found[c] is None else found[c] for c in cols}
 
 
 def impute_smart(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -87,8 +95,13 @@ def impute_constant(df: DataFrame, cols: Sequence[str] | None = None, value: str
 
 def handle_missing(df: DataFrame, flags: Sequence[str] = CONDITION_FLAGS) -> DataFrame:
     """Drop columns over 90 % missing, then medians, modes and false flags."""
-    df = drop_sparse_columns(df)
-    return impute_false(impute_mode(impute_median(df)), flags)
+    n, nulls = stats.null_counts(df)
+    df = df.drop(*[c for c in df.columns if n and nulls[c] / n > 0.9])
+    gaps = {c for c in df.columns if nulls[c]}
+    numeric = [c for c in stats.numeric_columns(df) if c in gaps]
+    medians = {c: v[0] for c, v in stats.quantiles(df, {c: [0.5] for c in numeric}).items()}
+    texts = [c for c in stats.string_columns(df) if c in gaps]
+    return impute_false(_fill(df, {**medians, **_mode_values(df, texts, "unknown")}), flags)
 
 
 def clip_iqr(

@@ -24,7 +24,9 @@ def chunked(df: DataFrame, order: Sequence[Column | str], chunk_rows: int = CHUN
     parts = -(-n // chunk_rows) if n else 1
     if parts == 1:
         return df.withColumn("_chunk", F.lit(0)), 1
-    ranged = df.repartitionByRange(parts, *order).withColumn("_chunk", F.spark_partition_id())
+    # Range boundaries are sampled in a pass of their own: compute the rows once.
+    stored = materialize(df, "grouped")
+    ranged = stored.repartitionByRange(parts, *order).withColumn("_chunk", F.spark_partition_id())
     return materialize(ranged, "chunks"), parts
 
 

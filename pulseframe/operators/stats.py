@@ -97,6 +97,17 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], approximate: bool = Fals
     return {c: found.get(c, 0) for c in cols}
 
 
+def distinct_up_to(df: DataFrame, cols: Sequence[str], limit: int) -> dict[str, int]:
+    """Distinct values per column, exact where there are at most ``limit``.
+
+    A sketch settles the wide columns without a shuffle; only those it puts
+    near the limit are counted exactly.
+    """
+    rough = distinct_counts(df, cols, approximate=True)
+    near = [c for c in cols if rough[c] <= 4 * limit + 20]
+    return rough | distinct_counts(df, near)
+
+
 def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
     """Most frequent non-null value per column as text; ties go to the smallest.
 

@@ -53,7 +53,7 @@ SELECT sid, Age, Sex, BMI, Smoking, HighBP, HighChol, Diabetes, PhysActivity, Hv
   CASE WHEN (CASE WHEN Age > 60 THEN 30 ELSE 0 END) + Smoking * 20 + HighBP * 15 + Diabetes * 10 + noise >= 55
        THEN 1 ELSE 0 END AS HeartDisease
 FROM (SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)
-    || '-' || CAST(l_suppkey AS STRING) AS sid,
+    || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(l_shipdate AS DATE) AS STRING) AS sid,
   CAST(18 + (l_partkey * 7 + l_orderkey) % 82 AS INT) AS Age,
   CASE WHEN (l_partkey + l_linenumber) % 2 = 0 THEN 'Male' ELSE 'Female' END AS Sex,
   16 + CAST((l_partkey * 13 + l_linenumber * 7) % 280 AS DOUBLE) / 10 AS BMI,
@@ -156,7 +156,8 @@ FRAMES["source_c"] = """
 SELECT n_name AS state, r_name AS area, n_nationkey AS code FROM {nation} JOIN {region} ON n_regionkey = r_regionkey"""
 
 FRAMES["vitals"] = """
-SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS vital_id,
+SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(l_linenumber AS STRING)
+    || '-' || CAST(CAST(l_shipdate AS DATE) AS STRING) AS vital_id,
   l_orderkey AS patient_id, l_shipdate AS measurement_date,
   CAST(80 + l_partkey % 150 AS INT) AS systolic_bp, CAST(25 + l_suppkey % 100 AS INT) AS diastolic_bp,
   CAST(40 + (l_partkey * 3) % 190 AS INT) AS heart_rate, CAST(60 + l_partkey % 45 AS DOUBLE) AS oxygen_saturation,
@@ -173,7 +174,8 @@ SELECT l_orderkey AS patient_id, 'med' || CAST(l_partkey AS STRING) AS medicatio
 FROM {lineitem}"""
 
 FRAMES["admissions"] = """
-SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS admission_id,
+SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(l_linenumber AS STRING)
+    || '-' || CAST(CAST(l_shipdate AS DATE) AS STRING) AS admission_id,
   l_orderkey AS patient_id, CAST(l_shipdate AS DATE) AS admission_date, l_extendedprice AS total_cost
 FROM {lineitem}"""
 

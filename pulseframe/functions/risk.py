@@ -205,4 +205,10 @@ def feature_description(name: Column) -> Column:
     out = None
     for key, text in FEATURE_TEXT.items():
         out = F.when(name == key, text) if out is None else out.when(name == key, text)
-    return out.otherwise(F.initcap(F.replace(name, F.lit("_"), F.lit(" "))))
+    return out.otherwise(title_case(F.replace(name, F.lit("_"), F.lit(" "))))
+
+
+def title_case(col: Column) -> Column:
+    """Capital at the start of every run of letters, also after a digit."""
+    runs = F.split(col, r"(?<=\P{L})(?=\p{L})|(?<=\p{L})(?=\P{L})")
+    return F.array_join(F.transform(runs, F.initcap), "")

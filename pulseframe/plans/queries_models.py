@@ -555,8 +555,9 @@ def _(t: Tables):
         training.save_model(model, path, version, "ridge", '{"validation": {"r2_score": 0.1}}', ["Age", "PhysHlth"], {"alpha": 1.0 + i},
                             f"2024-01-0{i + 1}", False, t.spark)
     scored = training.predict(training.load_model(path, "v2"), t.survey, ["Age", "PhysHlth"], ["sid"])
-    mean = scored.agg(F.round(F.avg("prediction"), 4).alias("mean_prediction"))
-    return training.list_models(path, t.spark).select("version", "model_type", "created_at").join(mean, how="cross")
+    mean = scored.agg(F.round(F.avg("prediction"), 4)).first()[0]
+    return training.list_models(path, t.spark).select(
+        "version", "model_type", "created_at", F.lit(mean).alias("mean_prediction"))
 
 
 @query("m32_training_job")

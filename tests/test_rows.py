@@ -160,3 +160,10 @@ def test_empty_frames(spark):
     assert quality.duplicate_count(df).first()["duplicate_rows"] == 0
     assert imputation.impute_median(df).count() == 0
     assert imputation.clip_iqr(df).count() == 0
+
+
+def test_feature_wording(spark):
+    df = spark.createDataFrame([("hba1c_level",), ("zip_code",), ("age",), ("has_kidney_disease",)], "feature string")
+    got = [tuple(r)[1:] for r in features.describe_features(df).collect()]
+    assert got == [("other", "Hba1C Level"), ("other", "Zip Code"), ("demographics", "Patient age in years"),
+                   ("medical_history", "Has Kidney Disease")]

@@ -410,9 +410,8 @@ def quality_dimensions(
     numeric = set(stats.numeric_columns(df))
     bounded = {c: r for c, r in ranges.items() if c in numeric}
     aggs: dict = {"n": F.count(F.lit(1)), **{("k", c): F.count(c) for c in df.columns}}
-    for c in texts:
-        aggs[("d", c)] = F.count_distinct(c)
-        aggs[("l", c)] = F.count_distinct(F.lower(c))
+    lowered = df.select(*texts, *[F.lower(c).alias(f"_lower_{c}") for c in texts])
+    distinct = stats.distinct_counts(lowered, lowered.columns)
     pressure = "systolic_bp" in numeric and "diastolic_bp" in numeric
     if pressure:
         aggs["bp"] = F.count_if(F.col("systolic_bp") <= F.col("diastolic_bp"))
@@ -429,7 +428,7 @@ def quality_dimensions(
     copies = duplicate_count(df).first()["duplicate_rows"]
     key_copies = sum(duplicate_count(df, [c]).first()["duplicate_rows"] for c in keys if c in df.columns)
     filled = sum(found[("k", c)] for c in df.columns)
-    mixed = sum(found[("d", c)] != found[("l", c)] for c in texts) + bool(pressure and found["bp"])
+    mixed = sum(distinct[c] != distinct[f"_lower_{c}"] for c in texts) + bool(pressure and found["bp"])
     outside = sum(bool(found[("r", c)]) for c in bounded)
     invalid = int("age" in numeric and found["young"] > n * 0.1)
     stale = max(0.0, 1 - found["age_days"] / 365) if dates and found["age_days"] is not None else 1.0

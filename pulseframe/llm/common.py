@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseframe.session import materialize, work_dir
 
-__all__ = ["materialize", "work_dir", "slices", "cut_words", "components", "read", "text_of", "unit", "drop_columns"]
-
 #: Bytes of text a task turns into arrays at a time; it bounds the memory of a Python worker.
 SLICE_BYTES = 2_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -71,19 +71,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def cut_words(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut_words(texts: list[bytes], table: bytes, classes: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of the texts: 64-bit hashes, lengths in bytes, and the bounds of each text's words.
 
     ``table`` maps bytes to bytes (256 of them); what it maps to a blank
-    separates words. Text ``i`` has the words ``bounds[i]:bounds[i + 1]``.
+    separates words. With ``classes``, a word also ends where the class of the
+    mapped byte changes. Text ``i`` has the words ``bounds[i]:bounds[i + 1]``.
     """
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    data = np.frombuffer((b" ".join(texts) + b" ").translate(table), np.uint8)
-    inside = np.empty(len(data) + 1, np.int8)
-    inside[0] = 0
-    inside[1:] = data != 32
-    edges = np.flatnonzero(np.diff(inside))
-    start, end = edges[::2], edges[1::2]
+    data = (b" ".join(texts) + b" ").translate(table)
+    kind = np.frombuffer(data.translate(classes) if classes else data, np.uint8)
+    data = np.frombuffer(data, np.uint8)
+    if not classes:
+        kind = (kind != 32).view(np.uint8)
+    turn = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1], [True])))
+    start, end = turn[:-1], turn[1:]
+    inside = kind[start] > 0
+    start, end = start[inside], end[inside]
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
@@ -130,3 +134,45 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def parts_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
+
+
+# -- learning from labelled rows -------------------------------------------------
+
+def fold(doc_id: Column, modulus: int) -> Column:
+    """Remainder of the CRC-32 of the id as text; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def labelled_sample(labels: DataFrame, label: str, bound: int, usable: Column) -> dict[int, int]:
+    """doc_id -> 0/1 of at most ``bound`` labelled rows, those with the smallest hashes of their ids.
+
+    Rows without id or label are no examples; an id labelled twice counts with its larger label.
+    """
+    rows = labels.where(usable & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+    rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return {r.doc_id: r.y for r in rows.collect()}
+
+
+def add_up(parts: DataFrame, width: int) -> np.ndarray:
+    """Sum of float64 vectors sent as rows (block, values); ``width`` is fixed, so the result is bounded."""
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = 0
+        for v in pdf["values"]:
+            out = out + np.frombuffer(zlib.decompress(v), np.float64)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "values": [zlib.compress(out.tobytes(), 1)]})
+
+    rows = parts.groupBy("block").applyInPandas(total, "block int, values binary").collect()
+    out = np.zeros(width)
+    for r in rows:
+        v = np.frombuffer(zlib.decompress(r["values"]), np.float64)
+        out[r["block"] * len(v):(r["block"] + 1) * len(v)] = v
+    return out
+
+
+def as_blocks(values: np.ndarray, blocks: int = 64) -> pa.RecordBatch:
+    """A task's sums for ``add_up``: its non-zero blocks, compressed."""
+    cut = values.astype(np.float64).reshape(blocks, -1)
+    live = np.flatnonzero(cut.any(axis=1))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(live, pa.int32()), pa.array([zlib.compress(cut[k].tobytes(), 1) for k in live], pa.binary())], names=["block", "values"])

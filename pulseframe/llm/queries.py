@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import op2_simhash, op3_decontamination, op5_mixing, op8_sharding
+from pulseframe.llm import op2_simhash, op3_decontamination, op5_mixing, op8_sharding, op9_quality, op10_toxicity
 from pulseframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,13 @@ def op8_sharding_tree(spark, folder):
     tree = op8_sharding.topology(40)
     found = op8_sharding.shard(read(spark, folder, "documents").select("doc_id", "text"), tree, op8_sharding.grow(tree))
     return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query
+def op9_quality_classifier(spark, folder):
+    return op9_quality.report(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query
+def op10_toxicity_segments(spark, folder):
+    return op10_toxicity.report(read(spark, folder, "documents"), read(spark, folder, "labels")).drop("passages")

@@ -71,12 +71,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def cut_words(texts: list[bytes], table: bytes, classes: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut_words(texts: list[bytes], table: bytes, classes: bytes | None = None,
+              heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of the texts: 64-bit hashes, lengths in bytes, and the bounds of each text's words.
 
     ``table`` maps bytes to bytes (256 of them); what it maps to a blank
     separates words. With ``classes``, a word also ends where the class of the
     mapped byte changes. Text ``i`` has the words ``bounds[i]:bounds[i + 1]``.
+    With ``heads`` the hashes are rows: of the words, and of their first bytes of those numbers.
     """
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     data = (b" ".join(texts) + b" ").translate(table)
@@ -92,6 +94,8 @@ def cut_words(texts: list[bytes], table: bytes, classes: bytes | None = None) ->
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
     h = (sums[end] - sums[start]) * down[start]
+    if heads:
+        h = np.stack([h, *((sums[np.minimum(start + k, end)] - sums[start]) * down[start] + np.uint64(k) for k in heads)])
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)

@@ -1,13 +1,14 @@
 """Toxic passages: maximum-scoring segments of token log-odds with extreme-value statistics.
 
-A token's score is its log-odds between toxic and other labelled documents under
-an informative Dirichlet prior, whose weights are the token's counts in the whole
-corpus, less a small constant. A document's maximal segments are found in one
+A token is a word or the start of one. Its score is its log-odds between toxic and
+other labelled documents under an informative Dirichlet prior, whose weights are
+the token's counts in the whole corpus, less a constant; a document counts a token once. A word scores as
+the surest of its tokens. A document's maximal segments are found in one
 scan over its scores. The best segment of a harmless text of ``n`` tokens follows
 an extreme-value law, fitted to labelled texts that are not toxic; the expected number of as
 good segments says which passages are significant. Their evidence adds up, and a
-logistic curve, fitted on labelled rows that the scores did not see, turns it into a
-probability. Tokens are hashed to ``BUCKETS`` buckets, so what is shipped to tasks has a fixed size.
+logistic curve turns it into a probability. Law and curve are fitted on labelled
+rows scored by the other folds' counts. Tokens are hashed to ``BUCKETS`` buckets, so what is shipped to tasks has a fixed size.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pulseframe.llm.common import add_up, as_blocks, byte_table, cut_words, drop_columns, fold, labelled_sample, materialize, slices
 
 BUCKETS = 1 << 18
-#: Labelled rows that are learned from, at most; a quarter of them fits the calibration only.
-SAMPLE = 40_000
+#: Labelled rows that are learned from, at most, and the folds they are scored in for the calibration.
+SAMPLE, FOLDS = 40_000, 4
 THRESHOLD = 0.7
-#: Pseudo-tokens of the prior in each class: shared out by the corpus, and for every token.
-PRIOR, FLOOR = 2_000.0, 0.5
-#: Standard errors a score is drawn to 0 by, and what every score is lowered by.
-SURE, DRIFT = 1.96, 0.05
+#: Bytes of a word's starts that are tokens of their own, so that inflected words count together.
+HEADS = (4, 6)
+#: Pseudo-documents of the prior in each class: shared out by the corpus, and for every token.
+PRIOR, FLOOR = 200.0, 0.5
+#: Standard errors a score is drawn to 0 by, and what every word's score is lowered by.
+SURE, DRIFT = 1.0, 1.0
 _WORDS = byte_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
 PASSAGES = T.ArrayType(T.StructType([
     T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()),
@@ -44,18 +47,20 @@ class Model(NamedTuple):
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    h, _, bounds = cut_words(texts, _WORDS)
+    """Rows of tokens (words, and their starts), and the bounds of each text's words."""
+    h, _, bounds = cut_words(texts, _WORDS, heads=HEADS)
     return (h >> np.uint64(46)).astype(np.int64), bounds
 
 
-def log_odds(corpus: np.ndarray, toxic: np.ndarray, other: np.ndarray, sure: float = SURE) -> np.ndarray:
-    """Log-odds of each token between the classes, with the corpus as prior, drawn to 0 by ``sure`` standard errors.
+def _word_scores(token: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    each = odds[token]
+    return np.take_along_axis(each, np.abs(each).argmax(axis=0)[None], axis=0)[0] - np.float32(DRIFT)
 
-    A token seen once says nothing; one that is common in one class only keeps most of its score.
-    """
+
+def log_odds(corpus: np.ndarray, toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int, sure: float = SURE) -> np.ndarray:
+    """Log-odds of a document of each class to have each token, with the corpus as prior, drawn to 0 by ``sure`` standard errors."""
     prior = PRIOR * corpus / max(1.0, corpus.sum()) + FLOOR
-    odds = lambda n: np.log(n + prior) - np.log(n.sum() + prior.sum() - n - prior)
-    delta = odds(toxic) - odds(other)
+    delta = np.log((toxic + prior) / (n_toxic + 2 * prior)) - np.log((other + prior) / (n_other + 2 * prior))
     error = np.sqrt(1 / (toxic + prior) + 1 / (other + prior))
     return np.sign(delta) * np.maximum(np.abs(delta) - sure * error, 0)
 
@@ -111,26 +116,31 @@ def evidence(scores: np.ndarray, decay: float, log_k: float) -> tuple[np.ndarray
     return x, [{"first_word": a, "n_words": b - a, "score": s, "expected": float(np.exp(base - decay * s))} for a, b, s in found]
 
 
-def counts(docs: DataFrame, known: dict[int, int]) -> np.ndarray:
-    """Token counts (all, toxic, other) over every document; labelled ones by the bounded ``known``."""
+def counts(docs: DataFrame, known: dict[int, tuple[int, int]]) -> np.ndarray:
+    """Rows of token counts: all of the corpus, then documents with the token by fold and label.
+
+    Every document is counted; ``known`` holds (fold, label) of the bounded sample.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(known)
+    rows = 1 + 2 * FOLDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = sent.value, np.zeros((3, BUCKETS))
+        known, total = sent.value, np.zeros((rows, BUCKETS))
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first, texts in slices(batch):
                 token, bounds = _tokens(texts)
-                total[0] += np.bincount(token, minlength=BUCKETS)
-                label = np.array([known.get(ids[first + k], -1) for k in range(len(texts))])
-                owner = np.repeat(label, np.diff(bounds))
-                for row, y in ((1, 1), (2, 0)):
-                    if (label == y).any():
-                        total[row] += np.bincount(token[owner == y], minlength=BUCKETS)
-        yield as_blocks(total.ravel())
+                total[0] += np.bincount(token.ravel(), minlength=BUCKETS)
+                for k in range(len(texts)):
+                    if (at := known.get(ids[first + k])) is not None:
+                        total[1 + 2 * at[0] + at[1], np.unique(token[:, bounds[k]:bounds[k + 1]])] += 1
+        yield as_blocks(total.ravel(), 64 * rows)
 
-    narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return add_up(narrow.mapInArrow(run, "block int, values binary"), 3 * BUCKETS).reshape(3, BUCKETS)
+    return add_up(_narrow(docs).mapInArrow(run, "block int, values binary"), rows * BUCKETS).reshape(rows, BUCKETS)
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -149,29 +159,40 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, sample: int = SAMPLE) -> Model:
     """The model from all documents' counts and a bounded sample of labelled rows outside the held-out fold."""
-    known = labelled_sample(labels, "toxic", sample, fold(F.col("doc_id"), modulus) != held)
-    ids = sorted(known)
-    back = {i: known[i] for k, i in enumerate(ids) if k % 4 == 3}
-    corpus, toxic, other = counts(docs, {i: y for i, y in known.items() if i not in back})
-    odds = (log_odds(corpus, toxic, other) - DRIFT).astype(np.float32) if toxic.sum() and other.sum() else np.zeros(BUCKETS, np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast((odds, back))
+    labelled = labelled_sample(labels, "toxic", sample, fold(F.col("doc_id"), modulus) != held)
+    known = {i: (k % FOLDS, labelled[i]) for k, i in enumerate(sorted(labelled))}
+    table = counts(docs, known)
+    corpus, by_fold = table[0], table[1:].reshape(FOLDS, 2, BUCKETS)
+    n = np.zeros((FOLDS, 2), int)
+    for f, y in known.values():
+        n[f, y] += 1
+
+    def odds_of(folds: list[int]) -> np.ndarray:
+        size, seen = n[folds].sum(axis=0), by_fold[folds].sum(axis=0)
+        if not size.all():
+            return np.zeros(BUCKETS, np.float32)
+        return log_odds(corpus, seen[1], seen[0], size[1], size[0]).astype(np.float32)
+
+    odds = odds_of(list(range(FOLDS)))
+    others = [odds_of([f for f in range(FOLDS) if f != g]) for g in range(FOLDS)]
+    sent = docs.sparkSession.sparkContext.broadcast((others, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds, back = sent.value
+        others, known = sent.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            rows = [k for k, i in enumerate(ids) if i in back]
+            rows = [k for k, i in enumerate(ids) if i in known]
             batch = batch.take(pa.array(rows, pa.int64()))
             out = []
-            for _, texts in slices(batch):
+            for first, texts in slices(batch):
                 token, bounds = _tokens(texts)
-                out += [odds[token[a:b]].astype(np.float32).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+                    out.append(_word_scores(token[:, a:b], others[known[ids[rows[first + k]]][0]]).tobytes())
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([back[ids[k]] for k in rows], pa.int32()),
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known[ids[k]][1] for k in rows], pa.int32()),
                                                   pa.array(out, pa.binary())], names=["doc_id", "y", "scores"])
 
-    narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    rows = materialize(narrow.mapInArrow(run, "doc_id long, y int, scores binary"), "toxic_calibration")
+    rows = materialize(_narrow(docs).mapInArrow(run, "doc_id long, y int, scores binary"), "toxic_calibration")
     best = [(r.y, r.n, r.best) for r in rows.mapInArrow(_best_rows, "doc_id long, y int, n long, best double")
             .orderBy("doc_id", "n", "best").limit(2 * sample).collect()]
     harmless = np.array([(np.log(max(1, n)), s) for y, n, s in best if not y]).reshape(-1, 2)
@@ -217,7 +238,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores, passages = [], []
             for _, texts in slices(batch):
                 token, bounds = _tokens(texts)
-                odds = model.odds[token].astype(np.float64)
+                odds = _word_scores(token, model.odds).astype(np.float64)
                 for a, b in zip(bounds[:-1], bounds[1:]):
                     x, found = evidence(odds[a:b], model.decay, model.log_k)
                     scores.append(1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -40, 40))))

@@ -20,7 +20,7 @@ from pulseframe.llm.common import drop_columns, materialize, text_of, unit
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Documents rounded by one task, and fan-in of the tree above.
-CHUNK_ROWS, FAN_IN = 20_000, 1_000
+CHUNK_ROWS, FAN_IN = 2_000, 1_000
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS) -> DataFrame:

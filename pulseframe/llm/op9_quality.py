@@ -67,7 +67,10 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(texts: list[bytes], vectors: np.ndarray, step: int = 65_536) -> np.ndarray:
-    """Mean and spread of each text's word vectors, and the log of its length. Empty texts give zeros."""
+    """Mean and spread of each text's word vectors, how far they move from word to word, and the log of its length.
+
+    Empty texts give zeros.
+    """
     token, bounds = _tokens(texts)
     n = np.diff(bounds)
     owner = np.repeat(np.arange(len(texts)), n)
@@ -78,7 +81,15 @@ def pooled(texts: list[bytes], vectors: np.ndarray, step: int = 65_536) -> np.nd
         sums[0][whose[first]] += np.add.reduceat(part, first, axis=0)
         sums[1][whose[first]] += np.add.reduceat(part * part, first, axis=0)
     mean, square = sums / np.maximum(n, 1)[:, None]
-    return np.hstack((mean, np.sqrt(np.maximum(square - mean * mean, 0)), np.log1p(n)[:, None]))
+    spread = np.maximum(square - mean * mean, 0)
+    stay = np.bincount(owner[1:][(token[1:] == token[:-1]) & (owner[1:] == owner[:-1])], minlength=len(texts)) / np.maximum(n - 1, 1)
+    moves = np.zeros(len(texts))
+    for a in range(1, len(token), step):
+        part = vectors[token[a - 1:a + step]]
+        same, whose = owner[a:a + step] == owner[a - 1:a - 1 + len(part) - 1], owner[a:a + step]
+        moves += np.bincount(whose, np.square(part[1:] - part[:-1]).sum(axis=1) * same, len(texts))
+    moves = moves / np.maximum(n - 1, 1) / np.maximum(2 * spread.sum(axis=1), 1e-9) * (n > 1)
+    return np.hstack((mean, np.sqrt(spread), np.stack((stay, np.minimum(moves, 4), np.log1p(n)), 1)))
 
 
 class Network(NamedTuple):
@@ -131,7 +142,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 40, batc
                 p[k] = p[k] - 0.005 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
     net = Network(shift, scale, p[0], p[1], p[2], float(p[3][0]), 1.0)
     logit, truth = net.logit(x[back]), y[back]
-    grid = np.exp(np.linspace(np.log(0.25), np.log(8), 81))
+    grid = np.exp(np.linspace(np.log(0.5), np.log(8), 81))
     loss = [np.mean(np.logaddexp(0, np.where(truth > 0, -1, 1) * logit / g)) for g in grid]
     return net._replace(temperature=float(grid[int(np.argmin(loss))]))
 
@@ -158,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, sam
 
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     rows = narrow.mapInArrow(run, "doc_id long, y int, x array<double>").orderBy("doc_id", "x").limit(2 * sample).collect()
-    x = np.array([r.x for r in rows]).reshape(len(rows), 2 * WIDTH + 1)
+    x = np.array([r.x for r in rows]).reshape(len(rows), 2 * WIDTH + 3)
     return vectors, train(x, np.array([r.y for r in rows], float))
 
 

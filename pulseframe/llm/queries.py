@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import op2_simhash, op3_decontamination, op5_mixing, op8_sharding, op9_quality, op10_toxicity
+from pulseframe.llm import op1_lines, op2_simhash, op3_decontamination, op4_licenses, op5_mixing, op8_sharding, op9_quality, op10_toxicity
 from pulseframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,29 @@ def query(fn):
     return fn
 
 
+@query
+def op1_line_dedup(spark, folder):
+    return op1_lines.report(read(spark, folder, "documents"))
+
+
+CHECKS["op1_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS spot, len(lines) AS n_lines
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+  f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS n,
+      lead(line) OVER (PARTITION BY doc_id ORDER BY spot) AS line2
+    FROM l WHERE NOT regexp_full_match(line, '[\x20\x09-\x0D]*')),
+  w AS (SELECT doc_id, n, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, n) AS place FROM f WHERE line2 IS NOT NULL),
+  g AS (SELECT DISTINCT doc_id, unnest([n, n + 1]) AS n FROM w WHERE place > 1),
+  r AS (SELECT f.*, g.n IS NOT NULL AS gone FROM f LEFT JOIN g ON f.doc_id = g.doc_id AND f.n = g.n),
+  s AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT coalesce(before, false)) AS n_runs
+    FROM (SELECT *, lag(gone) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM r) GROUP BY doc_id),
+  k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY spot) AS kept
+    FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = l.doc_id AND r.spot = l.spot AND gone) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_runs, 0) AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
 @query
 def op2_simhash_near_dedup(spark, folder):
     return op2_simhash.report(read(spark, folder, "documents"))
@@ -67,3 +90,11 @@ def op9_quality_classifier(spark, folder):
 @query
 def op10_toxicity_segments(spark, folder):
     return op10_toxicity.report(read(spark, folder, "documents"), read(spark, folder, "labels")).drop("passages")
+
+
+@query
+def op4_license_scan(spark, folder):
+    return op4_licenses.report(read(spark, folder, "documents"))
+
+
+CHECKS["op4_license_scan"] = op4_licenses.SQL

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import op2_simhash, op3_decontamination, op5_mixing, op8_sharding
+from pulseframe.llm import op2_simhash, op3_decontamination, op5_mixing, op8_sharding, op9_quality
 from pulseframe.llm.common import materialize, read
 
 SHARDS = 40
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for bad go."""
+    return op9_quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return op2_simhash.keep_first(docs)
@@ -31,6 +36,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_classifier", good_quality),
     ("simhash_near_dedup", near_duplicates),
     ("benchmark_decontamination", benchmark_texts),
     ("source_mixing", source_mix),

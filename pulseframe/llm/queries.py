@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import op1_lines, op2_simhash, op3_decontamination, op4_licenses, op5_mixing, op7_substrings, op8_sharding, op9_quality, op10_toxicity
+from pulseframe.llm import op1_lines, op2_simhash, op3_decontamination, op4_licenses, op5_mixing, op6_fingerprints, op7_substrings, op8_sharding, op9_quality, op10_toxicity
 from pulseframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ CHECKS["op4_license_scan"] = op4_licenses.SQL
 @query
 def op7_substring_dedup(spark, folder):
     return op7_substrings.report(read(spark, folder, "documents"))
+
+
+@query
+def op6_document_fingerprints(spark, folder):
+    return op6_fingerprints.report(read(spark, folder, "documents"))

@@ -10,16 +10,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A percentile aggregate keeps one map entry per distinct value. Above this many
-# distinct values exact quantiles are found by bracketing instead.
-DISTINCT_BOUND = 100_000
-SKETCH_ACCURACY = 10_000
+from pulseframe.session import materialize
+
+# Counts of cells that one round of the quantile search gathers, about.
+CELLS = 65_536
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -123,128 +122,101 @@ def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
     return {c: found.get(c) for c in cols}
 
 
-def quantiles(
-    df: DataFrame,
-    spec: Mapping[str, Sequence[float]],
-    distinct_bound: int = DISTINCT_BOUND,
-) -> dict[str, list[float | None]]:
-    """Exact interpolated quantiles (linear, nulls ignored) of several columns.
+def quantiles(df: DataFrame, spec: Mapping[str, Sequence[float]], cells: int = CELLS) -> dict[str, list[float | None]]:
+    """Exact interpolated quantiles (linear; nulls and NaN ignored) of several columns.
 
-    Columns with few distinct values use the built-in percentile aggregate,
-    whose state is then bounded. The others are bracketed with a quantile
-    sketch and only the rows inside the brackets are looked at again, until a
-    bracket holds at most ``distinct_bound`` rows; no task ever holds more.
+    The columns are written once, narrow, as (column, value). Each round deals the values of
+    every open range into equal cells and counts them, combined before the
+    shuffle; a rank then goes on in its cell, whose own smallest and largest value
+    bound the next range. A rank at a cell's edge is found. All marks of all columns
+    share the rounds, and at most about ``cells`` counts reach the driver in one.
     """
     cols = list(spec)
     if not cols:
         return {}
-    data = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    head = fused(data, {
-        **{("n", i): F.count(f"c{i}") for i in range(len(cols))},
-        **{("d", i): F.approx_count_distinct(f"c{i}") for i in range(len(cols))},
-    })
+    wide = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"{i}") for i, c in enumerate(cols)])
+    data = wide.unpivot([], [f"{i}" for i in range(len(cols))], "c", "x").where("x IS NOT NULL").select(F.col("c").cast("int").alias("c"), "x")
+    data = materialize(data, "values")
+    head = {r["c"]: (r["n"], r["lo"], r["hi"]) for r in data.groupBy("c").agg(
+        F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    places = {i: [(head[i][0] - 1) * float(p) for p in spec[c]] for i, c in enumerate(cols) if i in head}
+    ranks = {(i, r) for i, at in places.items() for a in at for r in (math.floor(a), math.ceil(a))}
+    values = _order_statistics(data, head, ranks, cells)
     out: dict[str, list[float | None]] = {}
-    narrow, wide = {}, []
     for i, c in enumerate(cols):
-        if head[("n", i)] == 0:
-            out[c] = [None for _ in spec[c]]
-        elif head[("d", i)] <= distinct_bound:
-            probs = F.array(*[F.lit(float(p)) for p in spec[c]])
-            narrow[c] = F.percentile(F.col(f"c{i}"), probs)
-        else:
-            wide.append((i, c))
-    out.update({c: list(v) for c, v in fused(data, narrow).items()})
-    wanted: dict[str, list[float]] = {}
-    for i, c in wide:
-        wanted[f"c{i}"] = [(head[("n", i)] - 1) * float(p) for p in spec[c]]
-    ranks = {x: sorted({r for at in places for r in (math.floor(at), math.ceil(at))}) for x, places in wanted.items()}
-    rows = {f"c{i}": head[("n", i)] for i, _ in wide}
-    values = _order_statistics(data, rows, ranks, distinct_bound) if wide else {}
-    for i, c in wide:
         out[c] = []
-        for at in wanted[f"c{i}"]:
-            lo, hi = values[(f"c{i}", math.floor(at))], values[(f"c{i}", math.ceil(at))]
+        for at in places.get(i, []):
+            lo, hi = values[(i, math.floor(at))], values[(i, math.ceil(at))]
             out[c].append(lo if lo == hi else lo + (hi - lo) * (at - math.floor(at)))
+        if i not in head:
+            out[c] = [None for _ in spec[c]]
     return out
 
 
-@dataclass
-class _Search:
-    """A rank looked for in column ``col`` among the ``rows`` values of [lo, hi]."""
+def _squeeze(x: float) -> float:
+    """A monotone map under which ranges of very different sizes have cells of their own."""
+    return math.copysign(min(math.log1p(abs(x)), 711.0), x)
 
-    col: str
-    rank: int
-    below: int
-    lo: float | None
-    hi: float | None
-    rows: int
-    slack: float
 
-    def span(self) -> list[float]:
-        p = (self.rank - self.below + 0.5) / self.rows
-        return [max(0.0, p - self.slack), min(1.0, p + self.slack)]
+def _scale(lo: float, hi: float) -> tuple[bool, float, float]:
+    """(squeezed, start, width) by which the values of a range are dealt into cells."""
+    a, b = _squeeze(lo), _squeeze(hi)
+    return (True, a, b - a) if b - a > 1e-9 * max(1.0, abs(a), abs(b)) else (False, lo, hi - lo)
 
 
-def _order_statistics(
-    data: DataFrame, rows: Mapping[str, int], ranks: Mapping[str, Sequence[int]], bound: int
-) -> dict[tuple[str, int], float]:
-    """Values at 0-based ranks of several columns, without sorting any of them.
+def _cell(x: Column, squeezed: Column, start: Column, width: Column, cells: int) -> Column:
+    """The cell of a value; a range's smallest value is in the first one and its largest in the last."""
+    bent = F.signum(x) * F.least(F.log1p(F.abs(x)), F.lit(711.0))
+    at = (F.when(squeezed, bent).otherwise(x) - start) / width
+    return F.least(F.greatest(F.floor(at * cells), F.lit(0)), F.lit(cells - 1)).cast("int")
 
-    Every round is one sketch pass and one counting pass for all columns; ranks
-    that share a bracket share its sketch. A last pass groups the few values
-    left inside the brackets.
-    """
-    found: dict[tuple[str, int], float] = {}
-    ready: dict[tuple[str, float, float, int], list[int]] = {}
-    open_ = [_Search(c, r, 0, None, None, rows[c], 2.0 / SKETCH_ACCURACY) for c in ranks for r in ranks[c]]
-    while open_:
-        shared: dict[tuple, list[_Search]] = {}
-        for s in open_:
-            shared.setdefault((s.col, s.lo, s.hi), []).append(s)
-        spans = fused(data, {
-            key: F.percentile_approx(F.when(_between(*key), F.col(key[0])),
-                                     F.array(*[F.lit(p) for s in group for p in s.span()]), SKETCH_ACCURACY)
-            for key, group in shared.items()})
-        tried = []
-        for key, group in shared.items():
-            marks = spans[key]
-            tried += [(s, marks[2 * i], marks[2 * i + 1]) for i, s in enumerate(group)]
-        brackets = {(s.col, lo, hi) for s, lo, hi in tried}
-        counts = fused(data, {
-            **{("b", k): F.count_if(F.col(k[0]) < F.lit(k[1])) for k in brackets},
-            **{("m", k): F.count_if(_between(*k)) for k in brackets}})
-        open_ = []
-        for s, lo, hi in tried:
-            below, inside = counts[("b", (s.col, lo, hi))], counts[("m", (s.col, lo, hi))]
-            if not below <= s.rank < below + inside:
-                open_.append(replace(s, slack=s.slack * 4))
-            elif lo == hi:
-                found[(s.col, s.rank)] = lo
-            elif inside <= bound:
-                ready.setdefault((s.col, lo, hi, below), []).append(s.rank)
-            else:
-                open_.append(_Search(s.col, s.rank, below, lo, hi, inside, 2.0 / SKETCH_ACCURACY))
-    if ready:
-        keys = list(ready)
-        hits = [F.when(_between(c, lo, hi), F.struct(F.lit(i).alias("i"), F.col(c).alias("x")))
-                for i, (c, lo, hi, _) in enumerate(keys)]
-        cells = data.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).groupBy("h.i", "h.x").count()
-        grouped: dict[int, list] = {}
-        for g in cells.collect():
-            grouped.setdefault(g["i"], []).append((g["x"], g["count"]))
-        for i, (c, _, _, at) in enumerate(keys):
-            for value, k in sorted(grouped.get(i, [])):
-                for r in ready[keys[i]]:
-                    if at <= r < at + k:
-                        found[(c, r)] = value
-                at += k
-    return found
 
+def _order_statistics(data: DataFrame, head: Mapping[int, tuple], ranks: set[tuple[int, int]], cells: int) -> dict[tuple[int, int], float]:
+    """Values at 0-based ranks of the columns ``c`` of rows (c, x)."""
+    found: dict[tuple[int, int], float] = {}
+    # Open ranges (column, first cell, smallest, largest value) with the rows below and inside, and the ranks wanted there.
+    open_: dict[tuple, tuple[int, int, set[int]]] = {}
 
-def _between(col: str, lo: float | None, hi: float | None) -> Column:
-    if lo is None:
-        return F.col(col).isNotNull()
-    return (F.col(col) >= F.lit(lo)) & (F.col(col) <= F.lit(hi))
+    def place(key: tuple, below: int, inside: int, wanted: set[int]) -> None:
+        c, _, lo, hi = key
+        for r in wanted:
+            if lo == hi or r == below:
+                found[(c, r)] = lo
+            elif r == below + inside - 1:
+                found[(c, r)] = hi
+            else:
+                open_.setdefault(key, (below, inside, set()))[2].add(r)
+
+    for c, (n, lo, hi) in head.items():
+        place((c, 0, lo, hi), 0, n, {r for k, r in ranks if k == c})
+    if not open_:
+        return found
+    spark, x = data.sparkSession, F.col("x")
+    # The first round's cells find a value's range in the later ones. One row per column, and at most one
+    # range per mark, are small enough to be sent along.
+    whole = spark.createDataFrame([(c, *_scale(lo, hi)) for c, _, lo, hi in open_], "c int, s boolean, a double, w double")
+    first = max(16, cells // len(open_))
+    dealt = data.join(F.broadcast(whole), "c").select("c", "x", _cell(x, F.col("s"), F.col("a"), F.col("w"), first).alias("first"))
+    counts, keys = dealt.groupBy("c", F.col("first").alias("cell")), {(key[0],): key for key in open_}
+    by_key = ["c"]
+    while open_:
+        got: dict[tuple, list] = {}
+        for r in counts.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
+            got.setdefault(keys[tuple(r[k] for k in by_key)], []).append(r)
+        previous, open_ = open_, {}
+        for key, (below, _, wanted) in previous.items():
+            for r in sorted(got.get(key, []), key=lambda r: r["cell"]):
+                if inside := {w for w in wanted if below <= w < below + r["n"]}:
+                    place((key[0], r["cell"] if by_key == ["c"] else key[1], r["lo"], r["hi"]), below, r["n"], inside)
+                below += r["n"]
+        if not open_:
+            break
+        rows = [(i, key[0], key[1], key[2], key[3], *_scale(key[2], key[3])) for i, key in enumerate(open_)]
+        ranges = spark.createDataFrame(rows, "i int, rc int, rf int, lo double, hi double, s boolean, a double, w double")
+        hit = dealt.join(F.broadcast(ranges), (F.col("c") == F.col("rc")) & (F.col("first") == F.col("rf")) & x.between(F.col("lo"), F.col("hi")))
+        cell = _cell(x, F.col("s"), F.col("a"), F.col("w"), max(16, cells // len(rows)))
+        counts, keys, by_key = hit.groupBy("i", cell.alias("cell")), {(i,): key for i, key in enumerate(open_)}, ["i"]
+    return found
 
 
 def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> dict[str, tuple[float, float]]:

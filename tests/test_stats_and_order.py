@@ -21,21 +21,32 @@ def values():
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.95, 1.0]
 
 
-@pytest.mark.parametrize("bound", [10 ** 6, 50])
-def test_quantiles_are_exact_on_both_paths(spark, values, bound):
+@pytest.mark.parametrize("cells", [65_536, 16])
+def test_quantiles_are_exact_with_few_and_many_cells(spark, values, cells):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(4)
-    got = stats.quantiles(df, {"x": PROBS}, distinct_bound=bound)["x"]
+    got = stats.quantiles(df, {"x": PROBS}, cells=cells)["x"]
     assert got == pytest.approx(np.quantile(values, PROBS).tolist(), rel=1e-12)
 
 
 def test_several_wide_columns_share_the_passes(spark, values):
     shifted = [v * 2 + 1 for v in values]
     df = spark.createDataFrame(list(zip(values, shifted)), "x double, y double")
-    got = stats.quantiles(df, {"x": [0.3, 0.5], "y": [0.25, 0.9]}, distinct_bound=50)
+    got = stats.quantiles(df, {"x": [0.3, 0.5], "y": [0.25, 0.9]}, cells=64)
     assert got["x"] == pytest.approx(np.quantile(values, [0.3, 0.5]).tolist(), rel=1e-12)
     assert got["y"] == pytest.approx(np.quantile(shifted, [0.25, 0.9]).tolist(), rel=1e-12)
 
 
+def test_quantiles_with_far_values_and_many_marks(spark, values):
+    odd = values + [1e300, -1e300, 5e-324, 0.0, -0.0, 1e-300, 3.0, 3.0000000000000004] * 3 + [float("inf")]
+    marks = np.linspace(0, 1, 201).tolist()
+    df = spark.createDataFrame([(v,) for v in odd] + [(None,), (float("nan"),)], "x double").repartition(3)
+    got = stats.quantiles(df, {"x": marks}, cells=2_000)["x"]
+    ordered_values, n = sorted(odd), len(odd) - 1
+    for p, g in zip(marks, got):
+        lo, hi = ordered_values[int(np.floor(n * p))], ordered_values[int(np.ceil(n * p))]
+        assert g == pytest.approx(lo if lo == hi else lo + (hi - lo) * (n * p - np.floor(n * p)), rel=1e-9)
+
+
 def test_quantiles_of_empty_and_constant_columns(spark):
     df = spark.createDataFrame([(None, 4.0), (None, 4.0)], "a double, b double")
     assert stats.quantiles(df, {"a": [0.5], "b": [0.1, 0.9]}) == {"a": [None], "b": [4.0, 4.0]}

@@ -33,8 +33,10 @@ from pyspark.sql import DataFrame, functions as F
 from pulseframe.llm.common import _powers, materialize, parts_for, slices
 
 LENGTH, GRAM = 50, 24
-#: Text per pack, per bucket of anchors, and packs above which an anchor's contexts are sent as single strings.
-PACK_BYTES, BUCKET_BYTES, HOT_PACKS = 1_000_000, 48_000_000, 5_000
+#: Text of the table per pack, per bucket of anchors and per shard of contexts.
+PACK_BYTES, BUCKET_BYTES, SHARD_BYTES = 1_000_000, 48_000_000, 8_000_000
+#: Packs with an anchor above which its contexts are sent as single strings.
+HOT_PACKS = 5_000
 _NULL_ID = np.iinfo(np.int64).max
 
 
@@ -63,10 +65,25 @@ def _hashes(data: np.ndarray, width: int) -> np.ndarray:
     n = len(data) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
+    sums, down = _sums(data)
+    h = sums[width:] - sums[:n]
+    h *= down[:n]
+    return _mix(h)
+
+
+def _stretches(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``data[begin:end]``."""
+    sums, down = _sums(data)
+    return _mix((sums[end] - sums[begin]) * down[begin])
+
+
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return _mix((sums[width:] - sums[:n]) * down[:n])
+    np.add(data, np.uint64(1), out=sums[1:], dtype=np.uint64)
+    sums[1:] *= up[:-1]
+    np.cumsum(sums[1:], out=sums[1:])
+    return sums, down
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -116,7 +133,8 @@ class Pack:
 
 
 def _of(batch: pa.RecordBatch) -> Iterator[tuple[int, Pack, dict]]:
-    for row in batch.to_pylist():
+    for k in range(batch.num_rows):
+        row = {c: batch.column(j)[k].as_py() for j, c in enumerate(batch.schema.names)}
         yield row["pack"], Pack(row["ids"], row["sizes"], row["data"]), row
 
 
@@ -177,10 +195,7 @@ class Contexts:
         self.begin = np.concatenate((text.begin[plain], at)).astype(np.int64)
         self.end = np.concatenate((text.end[plain], at + LENGTH)).astype(np.int64)
         self.doc = np.concatenate((text.doc[plain], np.repeat(text.doc[hot], count))).astype(np.int64)
-        up, down = _powers(len(text.text) + 1)
-        sums = np.zeros(len(text.text) + 1, np.uint64)
-        np.cumsum((text.text.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        h = _mix((sums[self.end] - sums[self.begin]) * down[self.begin])
+        h = _stretches(text.text, self.begin, self.end)
         self.unique, first, self.which = np.unique(h, return_index=True, return_inverse=True)
         self.first = first
         gram = np.concatenate((text.gram[plain], h[len(plain):]))[first]
@@ -285,20 +300,20 @@ def _judge(contexts: DataFrame) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        rows = [(n, zstandard.decompress(v)) for n, v in zip(table["n"].to_pylist(), table["contexts"].to_pylist())]
-        n = np.array([r[0] for r in rows])
-        size = np.concatenate([np.frombuffer(v, np.uint8, k) for k, v in rows]).astype(np.int64)
-        least = np.concatenate([np.frombuffer(v, np.int64, k, k) for k, v in rows])
-        gram = np.concatenate([np.frombuffer(v, np.uint32, k, 9 * k) for k, v in rows])
-        text = np.concatenate([np.frombuffer(v, np.uint8, offset=13 * k) for k, v in rows])
-        del rows
+        n = np.array(table["n"].to_pylist())
+        sizes, leasts, grams, texts, hashes = [], [], [], [], []
+        for k, packed in zip(n.tolist(), table["contexts"]):
+            v = zstandard.decompress(packed.as_py())
+            sizes.append(np.frombuffer(v, np.uint8, k).astype(np.int64))
+            leasts.append(np.frombuffer(v, np.int64, k, k))
+            grams.append(np.frombuffer(v, np.uint32, k, 9 * k))
+            texts.append(np.frombuffer(v, np.uint8, offset=13 * k))
+            past = np.cumsum(sizes[-1])
+            hashes.append(_stretches(texts[-1], past - sizes[-1], past))
+        size, least, gram, text, h = map(np.concatenate, (sizes, leasts, grams, texts, hashes))
+        del sizes, leasts, grams, texts, hashes
         end = np.cumsum(size)
         begin = end - size
-        up, down = _powers(len(text) + 1)
-        sums = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        h = _mix((sums[end] - sums[begin]) * down[begin])
-        del sums
         _, first, which = np.unique(h, return_index=True, return_inverse=True)
         owner = np.full(len(first), _NULL_ID, np.int64)
         np.minimum.at(owner, which, least)
@@ -357,7 +372,7 @@ def _cut(joined: DataFrame, buckets: int, shards: int, keep_text: bool) -> DataF
 
 
 def dedup(docs: DataFrame, keep_text: bool = True, pack_bytes: int = PACK_BYTES, bucket_bytes: int = BUCKET_BYTES,
-          hot_packs: int = HOT_PACKS) -> DataFrame:
+          shard_bytes: int = SHARD_BYTES, hot_packs: int = HOT_PACKS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every document.
 
     A byte goes if a string of ``LENGTH`` bytes over it also starts in a document
@@ -366,13 +381,13 @@ def dedup(docs: DataFrame, keep_text: bool = True, pack_bytes: int = PACK_BYTES,
     """
     packs = materialize(pack(docs, pack_bytes), "packs")
     total = packs.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0))).first()[0]
-    buckets = parts_for(int(total), bucket_bytes)
+    buckets, shards = parts_for(int(total), bucket_bytes), parts_for(int(total), shard_bytes)
     flags = _shared(_anchors(packs, buckets), hot_packs).groupBy("pack").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
     flags = materialize(flags, "repeat_flags")
     likely = packs.join(flags, "pack")  # packs without a shared anchor send nothing
-    covers = _judge(_send(likely, buckets, buckets)).groupBy("pack").agg(F.collect_list(F.struct("shard", "cover")).alias("covers"))
+    covers = _judge(_send(likely, buckets, shards)).groupBy("pack").agg(F.collect_list(F.struct("shard", "cover")).alias("covers"))
     covers = materialize(covers, "repeat_covers")
-    return _cut(packs.join(flags.join(covers, "pack"), "pack", "left"), buckets, buckets, keep_text)
+    return _cut(packs.join(flags.join(covers, "pack"), "pack", "left"), buckets, shards, keep_text)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def test_query_matches_brute_force(spark, folder):
     assert rows(queries.QUERIES["op7_substring_dedup"](spark, folder)) == want and any(r[3] > 1 for r in want)
 
 
-@pytest.mark.parametrize("options", [{}, {"pack_bytes": 700, "bucket_bytes": 900}, {"pack_bytes": 500, "bucket_bytes": 900, "hot_packs": 1}])
+@pytest.mark.parametrize("options", [{}, {"pack_bytes": 700, "bucket_bytes": 900, "shard_bytes": 400}, {"pack_bytes": 500, "bucket_bytes": 900, "shard_bytes": 400, "hot_packs": 1}])
 def test_random_texts(spark, options):
     rng = np.random.default_rng(7)
     pool = ["".join(rng.choice(list("abc d\x00é"), n)) for n in (49, 50, 51, 80, 130, 300)]

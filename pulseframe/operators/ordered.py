@@ -132,19 +132,21 @@ def next_in_group(
     row of a chunk takes the earliest value of the group's next chunk.
     """
     largest = df.groupBy(*group).count().agg(F.max("count")).first()[0]
+    ascending = F.col(order).asc_nulls_last()  # rows without a value come last and have no successor
     if (largest or 0) <= hot_rows:
-        return df.withColumn(out, F.lead(order).over(Window.partitionBy(*group).orderBy(order)))
+        return df.withColumn(out, F.lead(order).over(Window.partitionBy(*group).orderBy(ascending)))
     data = df.withColumn("_c", chunk)
-    inside = Window.partitionBy(*group, "_c").orderBy(order)
+    inside = Window.partitionBy(*group, "_c").orderBy(ascending)
     data = data.withColumn("_n", F.lead(order).over(inside))
     firsts = df.withColumn("_c", chunk).groupBy(*group, "_c").agg(F.min(order).alias("_first"))
-    across = Window.partitionBy(*group).orderBy("_c")
+    across = Window.partitionBy(*group).orderBy(F.col("_c").asc_nulls_last())
     nexts = firsts.select(
         *[F.col(g).alias(f"_g_{g}") for g in group], F.col("_c").alias("_gc"),
         F.lead("_first").over(across).alias("_follow"))
-    match = F.col("_c") == F.col("_gc")
+    match = F.col("_c").eqNullSafe(F.col("_gc"))
     for g in group:
         match = match & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
     joined = data.join(nexts, match, "left")
-    return (joined.withColumn(out, F.coalesce("_n", "_follow"))
+    follow = F.when(F.col(order).isNotNull(), F.coalesce("_n", "_follow"))
+    return (joined.withColumn(out, follow)
             .drop("_c", "_n", "_gc", "_follow", *[f"_g_{g}" for g in group]))

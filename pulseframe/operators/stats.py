@@ -72,7 +72,9 @@ def adjusted_kurtosis(col: Column) -> Column:
 
 def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, value as text) pairs of the non-null cells."""
-    texts = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    floats = (T.DoubleType, T.FloatType)
+    same = {c: F.col(c) + 0.0 if isinstance(df.schema[c].dataType, floats) else F.col(c) for c in cols}  # -0.0 is 0.0
+    texts = df.select(*[same[c].cast("string").alias(c) for c in cols])
     return texts.unpivot([], list(cols), "column", "value").where(F.col("value").isNotNull())
 
 

@@ -88,11 +88,11 @@ SELECT user_id, MAX(event_id) AS event_id, ROUND(MAX_BY(value, event_id), 6) AS
 def _(t: Tables):
     base = work_dir(t.spark, "upsert")
     rows = t.events.select("user_id", "event_id", "value")
-    for part in ("event_type in ('view', 'click')", "event_type not in ('view', 'click')"):
-        later = t.events.where(part).select("user_id", (F.col("event_id")).alias("event_id"), "value")
-        later.write.mode("append").parquet(f"{base}/landing")
-    stream = streams.file_stream(t.spark, f"{base}/landing", rows.schema)
-    streams.incremental_ingest(stream, f"{base}/state", ["user_id"], "event_id")
+    # Each part holds ids below and above those of the other.
+    for part in ("event_type not in ('view', 'click')", "event_type in ('view', 'click')"):
+        t.events.where(part).select(*rows.columns).write.mode("append").parquet(f"{base}/landing")
+        stream = streams.file_stream(t.spark, f"{base}/landing", rows.schema)
+        streams.incremental_ingest(stream, f"{base}/state", ["user_id"], "event_id")
     return rounded(streams.current_state(t.spark, f"{base}/state", ["user_id"], rows.schema))
 
 
@@ -109,16 +109,31 @@ def _(t: Tables):
     return out.select(F.col("row").alias("event_id"), F.round("prediction", 4).alias("prediction"))
 
 
-@query("t5_dedup_ttl", """
-SELECT event_id FROM (SELECT event_id, ts, LAG(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS p FROM events) WHERE p IS NULL OR ts - p > INTERVAL 30 MINUTE""")
+_TTL = """
+WITH RECURSIVE k AS (
+  SELECT user_id, event_type, MIN({'ts': ts, 'id': event_id}) AS v FROM events GROUP BY user_id, event_type
+  UNION ALL
+  SELECT k.user_id, k.event_type, MIN({'ts': e.ts, 'id': e.event_id}) AS v FROM k JOIN events e
+    ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.ts >= k.v.ts + INTERVAL 30 MINUTE GROUP BY k.user_id, k.event_type)
+SELECT v.id AS event_id FROM k"""
+
+
+@query("t5_dedup_ttl", _TTL)
 def _(t: Tables):
-    return streams.dedup_ttl_batch(t.events, ["user_id", "event_type"]).select("event_id")
+    return streams.dedup_ttl_batch(t.events, ["user_id", "event_type"], tie="event_id").select("event_id")
 
 
-@query("t5_dedup_ttl_stream", "SELECT user_id, event_type FROM events GROUP BY 1, 2")
+@query("t5_dedup_ttl_stream", _TTL)
 def _(t: Tables):
-    """All rows arrive in one run here, so each key is let through once."""
-    return streams.run_to_table(streams.dedup_ttl(event_stream(t), ["user_id", "event_type"]).select("user_id", "event_type"), "dedup")
+    """Three runs, each over the files landed since the one before."""
+    base, out = work_dir(t.spark, "ttl"), None
+    rows = t.events.select("event_id", "ts", "user_id", "event_type")
+    for start, end in zip(("2000-01-01", *_PARTS), _PARTS):
+        landed = rows.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+        landed.write.mode("append").parquet(f"{base}/landing")
+        stream = streams.file_stream(t.spark, f"{base}/landing", rows.schema)
+        out = streams.run_to_table(streams.dedup_ttl(stream, ["user_id", "event_type"], tie="event_id"), "ttl", path=base)
+    return out.select("event_id")
 
 
 @query("t6_alert_stream", "SELECT prediction_id, 'high_risk' AS reason FROM predictions WHERE risk_score >= 0.7", ["predictions"])

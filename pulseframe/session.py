@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -40,7 +41,9 @@ def work_dir(spark: SparkSession, name: str = "") -> str:
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         app_id = spark.sparkContext.applicationId
-        base = _LOCAL_DIRS.setdefault(app_id, tempfile.mkdtemp(prefix="pulseframe-"))
+        if app_id not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app_id] = tempfile.mkdtemp(prefix="pulseframe-")
+        base = _LOCAL_DIRS[app_id]
     return f"{base.rstrip('/')}/{name or 'run'}-{uuid.uuid4().hex[:12]}"
 
 
@@ -56,10 +59,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least a partition per core for data that is scanned many times.
+def spread(df: DataFrame, rows_per_part: int = 100_000) -> DataFrame:
+    """Rows dealt by their hash into a number of partitions that only their count decides, sorted in each.
 
-    Tables of few files are redistributed once; large tables are left alone.
+    Iterative fits draw samples by partition and position, so the same table gives
+    the same model on any cluster and from any layout of files.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= want else df.repartition(want)
+    parts = max(8, -(-df.count() // rows_per_part))
+    mark = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return df.repartition(parts, mark).sortWithinPartitions(mark)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,9 +76,9 @@ def newest_rows(df: DataFrame, version: str = "version") -> DataFrame:
     return df.where(F.col(version) == F.lit(top))
 
 
-def preview(df: DataFrame, rows: int = 100) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """The first rows (the feature is a preview) and the column types."""
-    return df.limit(rows), df.dtypes
+def preview(df: DataFrame, rows: int = 100, order: Sequence[str] | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """The first rows (the feature is a preview) by ``order``, or by all columns, and the column types."""
+    return df.orderBy(*(order or df.columns)).limit(rows), df.dtypes
 
 
 def write_dual(df: DataFrame, root: str, name: str, version: str) -> dict[str, str]:
@@ -122,14 +122,15 @@ def store_predictions(df: DataFrame, root: str, batch_id: str, created_at: str,
     """Append prediction rows by day, one batch row and one audit row; returns the batch row."""
     spark = df.sparkSession
     dated = df.withColumns({"batch_id": F.lit(batch_id), "date": F.to_date(ts)})
+    # Counted while they are written: no later batch has to read the history.
+    seen = Observation()
+    counted = dated.observe(seen, F.count(F.lit(1)).alias("total"), F.count("risk_score").alias("done"))
     # Rebalancing gathers small days into few files and splits a day that is too large for one task.
-    dated.hint("rebalance", F.col("date")).write.mode("append").partitionBy("date").parquet(f"{root}/predictions")
-    stored = spark.read.parquet(f"{root}/predictions").where(F.col("batch_id") == batch_id)
-    done = F.count("risk_score")
-    batch = stored.agg(F.count(F.lit(1)).alias("total_records"), done.alias("successful_predictions"),
-                       (F.count(F.lit(1)) - done).alias("failed_predictions")).select(
-        F.lit(batch_id).alias("batch_id"), F.lit(created_at).alias("created_at"),
-        F.lit("completed").alias("job_status"), "*")
+    counted.hint("rebalance", F.col("date")).write.mode("append").partitionBy("date").parquet(f"{root}/predictions")
+    total, done = seen.get["total"], seen.get["done"]
+    batch = spark.createDataFrame(
+        [(batch_id, created_at, "completed", total, done, total - done)],
+        "batch_id string, created_at string, job_status string, total_records long, successful_predictions long, failed_predictions long")
     batch.write.mode("append").parquet(f"{root}/batches")
     spark.createDataFrame([("batch_stored", batch_id, created_at)],
                           "event_type string, correlation_id string, created_at string") \

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +28,10 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern:
     return reader.load(folder)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process everything available into a file table and read it back."""
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Process everything available into a file table and read it back; with ``path``, go on where the last run ended."""
     spark = stream.sparkSession
-    out, state = work_dir(spark, name), work_dir(spark, f"{name}-state")
+    out, state = (f"{path}/rows", f"{path}/state") if path else (work_dir(spark, name), work_dir(spark, f"{name}-state"))
     query = (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", state)
              .trigger(availableNow=True).start(out))
     query.awaitTermination()
@@ -81,20 +83,69 @@ def stream_score(df: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> Dat
     return scorer(df)
 
 
-def dedup_ttl(df: DataFrame, keys: list[str], ts: str = "ts", ttl: str = "30 minutes") -> DataFrame:
-    """A key seen again within the time to live is dropped; state lasts as long as that."""
-    return _marked(df, ts, ttl).dropDuplicatesWithinWatermark(keys)
+def _ttl_filter(at: np.ndarray, last: int | None, ttl: int) -> tuple[np.ndarray, int | None]:
+    """Which of the ascending times are let through, and the last one that was."""
+    kept = np.zeros(len(at), bool)
+    i = 0 if last is None else int(np.searchsorted(at, last + ttl))
+    while i < len(at):
+        kept[i], last = True, int(at[i])
+        i = int(np.searchsorted(at, last + ttl))
+    return kept, last
 
 
-def dedup_ttl_batch(df: DataFrame, keys: list[str], ts: str = "ts", seconds: int = 1800) -> DataFrame:
-    """Batch twin: a row counts when its key was not seen in the ``seconds`` before it."""
-    from pulseframe.operators import ordered
+def dedup_ttl(df: DataFrame, keys: list[str], ts: str = "ts", tie: str | None = None, seconds: int = 1800,
+              delay: str = "30 minutes") -> DataFrame:
+    """A row goes through when none of its key did in the ``seconds`` before it.
 
-    day = F.to_date(ts)
-    found = ordered.next_in_group(df.withColumn("_neg", -F.unix_micros(F.col(ts).cast("timestamp"))),
-                                  keys, "_neg", -F.unix_date(day), "_previous")
-    gap = F.col("_previous") - F.col("_neg")
-    return found.where(gap.isNull() | (gap > seconds * 1_000_000)).drop("_neg", "_previous")
+    The time to live runs from the row that went through, so repeats do not
+    extend it. The state of a key is one time stamp, and goes when the watermark has passed
+    its end. Rows of one micro-batch are taken in order of time and ``tie``.
+    """
+    ttl = seconds * 1_000_000
+    order = ["_at", tie] if tie else ["_at"]
+    rows = _marked(df, ts, delay).withColumn("_at", F.unix_micros(ts))
+
+    def run(_, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        kept, last = _ttl_filter(rows["_at"].to_numpy(), state.get[0] if state.exists else None, ttl)
+        end, mark = (last + ttl) // 1000, state.getCurrentWatermarkMs()
+        if end > mark:
+            state.update((last,))
+            state.setTimeoutTimestamp(end)
+        elif state.exists:
+            state.remove()
+        yield rows[kept].drop(columns="_at")
+
+    out = T.StructType([f for f in rows.schema if f.name != "_at"])
+    return rows.groupBy(*keys).applyInPandasWithState(run, out, "last long", "append", "EventTimeTimeout")
+
+
+def dedup_ttl_batch(df: DataFrame, keys: list[str], ts: str = "ts", tie: str | None = None, seconds: int = 1800) -> DataFrame:
+    """Batch form of the same rule, over partitions sorted by key and time.
+
+    A task goes through its sorted rows and remembers one key and time stamp, so
+    a key of any size needs no memory; its rows are one task's work, as each depends on the last.
+    """
+    ttl = seconds * 1_000_000
+    rows = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_key", F.to_json(F.struct(*keys)))
+    rows = rows.repartition("_key").sortWithinPartitions("_key", "_at", *([tie] if tie else []))
+
+    def run(batches):
+        key, last = None, None
+        for batch in batches:
+            names, at = batch["_key"].to_numpy(), batch["_at"].to_numpy()
+            first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.empty(0, int)
+            kept = np.zeros(len(names), bool)
+            for a, b in zip(first, [*first[1:], len(names)]):
+                if names[a] != key:
+                    key, last = names[a], None
+                kept[a:b], last = _ttl_filter(at[a:b], last, ttl)
+            yield batch[kept].drop(columns=["_at", "_key"])
+
+    return rows.where("_at IS NOT NULL").mapInPandas(run, df.schema)
 
 
 def alert_rows(df: DataFrame, score: str = "risk_score", threshold: float = risk.HIGH_FROM) -> DataFrame:
@@ -127,18 +178,19 @@ def daily_trend_stream(df: DataFrame, ts: str = "created_at", delay: str = "1 da
 
 
 def newest_arrivals(arriving: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """One row per key of a batch: the one of greatest version."""
+    """One row per key of a batch: the one of greatest version, and how many arrived."""
     values = [c for c in arriving.columns if c not in keys]
     return arriving.groupBy(*keys).agg(
-        F.max_by(F.struct(*values), F.struct(F.col(version), F.struct(*values))).alias("_new"))
+        F.max_by(F.struct(*values), F.struct(F.col(version), F.struct(*values))).alias("_new"), F.count(F.lit(1)).alias("_rows"))
 
 
 def upsert_delta(stored: DataFrame | None, arriving: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The arriving keys with ``_state`` inserted, updated or equal.
+    """The arriving keys with ``_state`` inserted, updated, equal or older, and the rows that arrived.
 
-    ``stored`` holds rows of earlier batches with their number in ``batch``;
-    only the keys that arrive are looked up, so the table is not shuffled when
-    the batch is small enough for Spark to broadcast.
+    ``stored`` holds rows of earlier batches; a key's greatest version counts, and
+    an arriving version below it is older, whatever order they come in. Only the
+    keys that arrive are looked up, so the table is not shuffled when the
+    batch is small enough for Spark to broadcast.
     """
     values = [c for c in arriving.columns if c not in keys]
     fresh = newest_arrivals(arriving, keys, version)
@@ -146,11 +198,41 @@ def upsert_delta(stored: DataFrame | None, arriving: DataFrame, keys: list[str],
         marked = fresh.withColumn("_state", F.lit("inserted"))
     else:
         old = stored.join(fresh.select(*keys), keys, "left_semi").groupBy(*keys).agg(
-            F.max_by(F.struct(*values), "batch").alias("_old"))
+            F.max_by(F.struct(*values), F.struct(F.col(version), "batch")).alias("_old"))
         state = (F.when(F.col("_old").isNull(), "inserted")
-                 .when(F.col("_old").eqNullSafe(F.col("_new")), "equal").otherwise("updated"))
+                 .when(F.col("_old").eqNullSafe(F.col("_new")), "equal")
+                 .when(F.col(f"_new.{version}") < F.col(f"_old.{version}"), "older").otherwise("updated"))
         marked = fresh.join(old, keys, "left").withColumn("_state", state)
-    return marked.select(*keys, "_new.*", "_state")
+    return marked.select(*keys, "_new.*", "_state", "_rows")
+
+
+#: Batches after which the table is written anew with one row per key.
+COMPACT_EVERY = 10
+
+
+def _stored(spark: SparkSession, path: str, number: int, keys: list[str], version: str, names: list[str]) -> DataFrame | None:
+    """Rows of the batches before ``number``: the last compaction and what came after it.
+
+    The batch that starts a new ten first writes the compaction; one that is
+    repeated after a failure writes the same rows again.
+    """
+    if number == 0:
+        return None
+    def after(first: int) -> DataFrame:
+        rows = spark.read.option("basePath", f"{path}/table").parquet(*[f"{path}/table/batch={k}" for k in range(first, number)])
+        return rows.select(*names, "batch")
+    start = number - number % COMPACT_EVERY
+    kept = f"{path}/compact/upto={start}"
+    if number == start:
+        rows = after(number - COMPACT_EVERY)
+        if start > COMPACT_EVERY:
+            rows = rows.unionByName(spark.read.parquet(f"{path}/compact/upto={start - COMPACT_EVERY}").select(*names, "batch"))
+        values = [c for c in [*names, "batch"] if c not in keys]
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(F.col(version), "batch")).alias("_v")).select(*keys, "_v.*")
+        newest.write.mode("overwrite").parquet(kept)
+        return spark.read.parquet(kept)
+    rows = after(start)
+    return rows.unionByName(spark.read.parquet(kept).select(*names, "batch")) if start else rows
 
 
 def current_state(spark: SparkSession, path: str, keys: list[str], schema: T.StructType) -> DataFrame:
@@ -165,24 +247,22 @@ def incremental_ingest(stream: DataFrame, path: str, keys: list[str], version: s
     """Merge the files landed since the last run into a keyed table.
 
     A batch appends only its new and changed rows, in a folder of its own
-    number; a repeated batch rewrites that folder. Returns the counts per batch.
+    number; a repeated batch rewrites that folder. Every tenth batch starts
+    from a compaction, so that no run reads the whole history. A version older than the stored one is
+    skipped. Returns the counts per batch.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        stored = None
-        if number > 0:
-            stored = spark.read.option("basePath", f"{path}/table").parquet(f"{path}/table")
-            stored = stored.where(F.col("batch") < number)
-        received = batch.count()
-        delta = upsert_delta(stored, batch, keys, version).where(F.col("_state") != "equal")
-        delta.write.mode("overwrite").parquet(f"{path}/table/batch={number}")
-        written = spark.read.parquet(f"{path}/table/batch={number}")
-        state = F.col("_state")
-        written.agg(F.count_if(state == "inserted").alias("inserted"), F.count_if(state == "updated").alias("updated")) \
-            .select(F.lit(number).alias("run_number"), F.lit(received).cast("long").alias("records_processed"),
-                    "inserted", "updated",
-                    (F.lit(received) - F.col("inserted") - F.col("updated")).cast("long").alias("skipped")) \
+        stored = _stored(spark, path, number, keys, version, batch.columns)
+        # Written once: the rows of the table and the counts both come from it.
+        upsert_delta(stored, batch, keys, version).write.mode("overwrite").parquet(f"{path}/arrived/batch={number}")
+        marked, state = spark.read.parquet(f"{path}/arrived/batch={number}"), F.col("_state")
+        marked.where(state.isin("inserted", "updated")).drop("_rows").write.mode("overwrite").parquet(f"{path}/table/batch={number}")
+        counts = marked.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("records_processed"),
+                            F.count_if(state == "inserted").alias("inserted"), F.count_if(state == "updated").alias("updated"))
+        counts.select(F.lit(number).alias("run_number"), "records_processed", "inserted", "updated",
+                      (F.col("records_processed") - F.col("inserted") - F.col("updated")).alias("skipped")) \
             .write.mode("overwrite").parquet(f"{path}/counts/run={number}")
 
     run_batches(stream, merge, f"{path}/state")

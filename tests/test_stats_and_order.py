@@ -108,6 +108,9 @@ def test_next_in_group_across_chunks(spark, hot):
     got = {(r["g"], r["d"]): r["n"] for r in
            ordered.next_in_group(df, ["g"], "d", F.floor(F.col("d") / 30), "n", hot).collect()}
     assert got == {("a", 1): 2, ("a", 2): 15, ("a", 15): 40, ("a", 40): 41, ("a", 41): 95, ("a", 95): None, ("b", 3): None}
+    nulls = spark.createDataFrame(days + [("a", None), ("c", None)], "g string, d int")
+    rows = ordered.next_in_group(nulls, ["g"], "d", F.floor(F.col("d") / 30), "n", hot).collect()
+    assert {(r["g"], r["d"]): r["n"] for r in rows} == got | {("a", None): None, ("c", None): None}
 
 
 def test_cut_edges(spark):

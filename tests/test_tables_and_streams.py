@@ -147,14 +147,31 @@ def test_late_rows_are_dropped_and_closed_days_emitted(spark, tmp_path):
     assert got == {"2024-01-01": (1, 0), "2024-01-04": (3, 1)}
 
 
-def test_dedup_within_ttl_batch_and_stream(spark, tmp_path):
-    rows = [(1, ts("2024-01-01 10:00:00"), 1), (1, ts("2024-01-01 10:10:00"), 2), (1, ts("2024-01-01 12:00:00"), 3), (2, ts("2024-01-01 10:05:00"), 4)]
+def test_dedup_within_ttl_is_one_rule_in_batch_and_stream(spark, tmp_path):
+    at = ["2024-01-01 00:00:00", "2024-01-01 00:20:00", "2024-01-01 00:30:00", "2024-01-01 00:55:00", "2024-01-01 01:05:00",
+          "2024-01-01 05:00:00", "2024-01-03 00:00:00"]
+    rows = [(1, ts(x), k) for k, x in enumerate(at)] + [(2, ts("2024-01-01 00:10:00"), 7), (2, ts("2024-01-01 00:10:00"), 8)]
     df = spark.createDataFrame(rows, EVENTS)
-    assert {r["value"] for r in streams.dedup_ttl_batch(df, ["user_id"]).collect()} == {1, 3, 4}
-    land = f"{tmp_path}/land"
-    between = [[(9, ts("2024-01-01 11:30:00"), 9)], [(8, ts("2024-01-01 11:40:00"), 8)]]
-    for chunk in (rows[:2] + rows[3:], *between, [rows[2]]):
-        _land(spark, land, chunk)
-    stream = streams.file_stream(spark, land, df.schema, files_per_trigger=1)
-    got = {r["value"] for r in streams.run_to_table(streams.dedup_ttl(stream, ["user_id"]), "dedup").collect()}
-    assert 3 in got and 4 in got and len(got & {1, 2}) == 1
+    want = [0, 2, 4, 5, 6, 7]
+    assert sorted(r["value"] for r in streams.dedup_ttl_batch(df, ["user_id"], tie="value").collect()) == want
+    ordered = sorted(rows, key=lambda r: (r[1], r[2]))
+    for name, parts in (("one", [ordered]), ("each", [[r] for r in ordered]), ("some", [ordered[:3], ordered[3:5], ordered[5:]])):
+        for part in parts:
+            _land(spark, f"{tmp_path}/{name}/land", part)
+            stream = streams.file_stream(spark, f"{tmp_path}/{name}/land", df.schema)
+            out = streams.run_to_table(streams.dedup_ttl(stream, ["user_id"], tie="value"), "ttl", path=f"{tmp_path}/{name}")
+        assert sorted(r["value"] for r in out.collect()) == want, name
+
+
+def test_an_older_version_never_replaces_a_newer_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "COMPACT_EVERY", 2)
+    schema = spark.createDataFrame([], EVENTS).schema
+    land, state = f"{tmp_path}/land", f"{tmp_path}/state"
+    days = [10, 5, 11, 3, 12, 12, 1]
+    for k, day in enumerate(days):
+        _land(spark, land, [(1, ts(f"2024-01-{day:02d}"), day), (100 + k, ts("2024-01-01"), k)])
+        counts = streams.incremental_ingest(streams.file_stream(spark, land, schema), state, ["user_id"], "ts")
+    got = {r["run_number"]: (r["inserted"], r["updated"], r["skipped"]) for r in counts.collect()}
+    assert got == {0: (2, 0, 0), 1: (1, 0, 1), 2: (1, 1, 0), 3: (1, 0, 1), 4: (1, 1, 0), 5: (1, 0, 1), 6: (1, 0, 1)}
+    now = {r["user_id"]: r["value"] for r in streams.current_state(spark, state, ["user_id"], schema).collect()}
+    assert now == {1: 12} | {100 + k: k for k in range(7)}

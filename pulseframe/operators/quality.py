@@ -262,17 +262,23 @@ def _logical(kind: T.DataType) -> str:
 def schema_validate(
     df: DataFrame, expected: Mapping[str, str] = R.EXPECTED_SCHEMA, required: Sequence[str] = R.REQUIRED
 ) -> DataFrame:
-    """Expected against actual columns, from the schema alone."""
+    """Expected against actual columns, with the filled values of each and those that are not of the expected type."""
+    cast = {"numeric": "double", "boolean": "boolean"}
+    here = [c for c in expected if c in df.columns]
+    filled = {c: F.count(F.col(f"`{c}`")) for c in df.columns}
+    wrong = {c: F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").cast("string").try_cast(cast[expected[c]]).isNull())
+             for c in here if expected[c] in cast}
+    found = stats.fused(df, {**{("n", c): e for c, e in filled.items()}, **{("bad", c): e for c, e in wrong.items()}})
     rows = []
     for c, kind in expected.items():
-        here = c in df.columns
-        actual = _logical(df.schema[c].dataType) if here else None
-        rows.append((c, kind, actual, here, here and actual == kind, c in required and not here))
-    rows += [(c, None, _logical(df.schema[c].dataType), True, False, False)
+        actual = _logical(df.schema[c].dataType) if c in here else None
+        rows.append((c, kind, actual, c in here, c in here and actual == kind, c in required and c not in here,
+                     found.get(("n", c)), found.get(("bad", c), 0 if c in here else None)))
+    rows += [(c, None, _logical(df.schema[c].dataType), True, False, False, found[("n", c)], None)
              for c in df.columns if c not in expected]
     return df.sparkSession.createDataFrame(
         rows, "column string, expected_type string, actual_type string, present boolean, "
-              "type_matches boolean, required_missing boolean")
+              "type_matches boolean, required_missing boolean, filled_values long, wrong_values long")
 
 
 def source_validate(df: DataFrame, source: str, as_of_year: int) -> DataFrame:

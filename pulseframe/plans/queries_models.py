@@ -155,14 +155,14 @@ def _(t: Tables):
 @query("x16_feature_stages")
 def _(t: Tables):
     rows = t.survey_gaps.select("sid", F.struct("sid").alias("key"), "Age", "BMI", "Sex", "GenHlth", "HighBP", "HeartDisease").drop("sid")
-    out = jobs.feature_estimator(rows, "HeartDisease", 5).fit(rows).transform(rows)
+    out = jobs.feature_estimator(rows, "HeartDisease").fit(rows).transform(rows)
     from pyspark.ml.functions import vector_to_array
     return out.select("key.sid", vector_to_array("selected").alias("selected"))
 
 
 @query("x17_feature_job")
 def _(t: Tables):
-    _, report = jobs.feature_job(t.survey_gaps.drop("sid", "Education"), k=20, path=work_dir(t.spark, "features"), step=30)
+    _, report = jobs.feature_job(t.survey_gaps.drop("sid", "Education"), path=work_dir(t.spark, "features"))
     return report
 
 
@@ -170,7 +170,7 @@ def _(t: Tables):
 def _(t: Tables):
     rows = t.patients.select("age", "bmi", "has_diabetes", "has_hypertension", "systolic_bp", "diastolic_bp", "total_cholesterol",
                              "gender", "smoking_status", "record_date", "Data_Value").where("Data_Value is not null")
-    out, _ = jobs.server_feature_job(rows, k=10)
+    out, _ = jobs.server_feature_job(rows)
     return out
 
 
@@ -219,7 +219,7 @@ def _(t: Tables):
 
 @query("m1_tree_regressions")
 def _(t: Tables):
-    return _fit_quality(t, "random_forest").unionByName(_fit_quality(t, "gradient_boosting", maxIter=20))
+    return _fit_quality(t, "random_forest").unionByName(_fit_quality(t, "gradient_boosting"))
 
 
 @query("m2_classifiers")
@@ -228,8 +228,7 @@ def _(t: Tables):
     split = training.stratified_split(t.survey, ["sid"], "HeartDisease")
     train, test = split.where("not is_test"), split.where("is_test")
     out = None
-    for kind, params in (("logistic_regression", {}), ("linear_svm", {"maxIter": 25}), ("random_forest", {"numTrees": 20, "maxDepth": 5}),
-                         ("gradient_boosting", {"maxIter": 10})):
+    for kind, params in [(k, {}) for k in ("logistic_regression", "linear_svm", "random_forest", "gradient_boosting")]:
         model = training.fit(train, SURVEY_FEATURES, "HeartDisease", kind, "classification", **params)
         scored = training.predict(model, test, SURVEY_FEATURES, ["HeartDisease"], "score")
         one = evaluation.roc_auc(scored, "HeartDisease", "score").select(F.lit(kind).alias("model"), F.round("roc_auc", 6).alias("roc_auc"))
@@ -239,14 +238,13 @@ def _(t: Tables):
 
 @query("m4_grid_search")
 def _(t: Tables):
-    found = training.search(t.survey, SURVEY_FEATURES[:6], "HeartDisease", "logistic_regression", ["sid"],
-                            grid={"regParam": [10.0, 1.0], "elasticNetParam": [0.0]}, k=3)
+    found = training.search(t.survey, SURVEY_FEATURES[:6], "HeartDisease", "logistic_regression", ["sid"])
     return rounded(training.search_table(found, t.spark), 4)
 
 
 @query("m5_random_search")
 def _(t: Tables):
-    found = training.search(t.survey, SURVEY_FEATURES[:6], "BMI", "lasso", ["sid"], task="regression", k=3, n_iter=2)
+    found = training.search(t.survey, [c for c in SURVEY_FEATURES if c != "BMI"], "BMI", "lasso", ["sid"], task="regression", n_iter=50)
     return rounded(training.search_table(found, t.spark), 4)
 
 
@@ -257,7 +255,7 @@ def _(t: Tables):
 
 @query("m7_learning_curve")
 def _(t: Tables):
-    return rounded(training.learning_curve(t.survey, SURVEY_FEATURES[:4], "HeartDisease", "ridge", ["sid"], sizes=4, k=2))
+    return rounded(training.learning_curve(t.survey, SURVEY_FEATURES[:4], "HeartDisease", "ridge", ["sid"]))
 
 
 @query("m8_bootstrap_stability")
@@ -458,7 +456,7 @@ def _(t: Tables):
 
 @query("m22_feature_importance")
 def _(t: Tables):
-    model = training.fit(t.survey, SURVEY_FEATURES, "HeartDisease", "random_forest", "classification", numTrees=20, maxDepth=5)
+    model = training.fit(t.survey, SURVEY_FEATURES, "HeartDisease", "random_forest", "classification")
     from pulseframe.operators import ranking
     table = training.importance_table(model, SURVEY_FEATURES, t.spark)
     return features.describe_features(rounded(ranking.top_features(table, None)))
@@ -578,7 +576,7 @@ def _(t: Tables):
 
 @query("m34_robustness_job")
 def _(t: Tables):
-    return rounded(jobs.robustness_job(t.survey, SURVEY_FEATURES[:4], "HeartDisease", "ridge", ["sid"], k=3, sizes=3, refits=5))
+    return rounded(jobs.robustness_job(t.survey, SURVEY_FEATURES[:4], "HeartDisease", "ridge", ["sid"]))
 
 
 @query("i7_impute_knn")

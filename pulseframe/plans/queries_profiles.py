@@ -84,16 +84,28 @@ def _(t: Tables):
     return out.select("is_valid", "quality_score", "total_records", "valid_records", "invalid_records", "warnings")
 
 
-@query("q5_schema_validate", """
-SELECT * FROM (VALUES ('age', 'numeric', 'numeric', TRUE, TRUE, FALSE), ('gender', 'categorical', 'categorical', TRUE, TRUE, FALSE),
-  ('Data_Value', 'numeric', 'numeric', TRUE, TRUE, FALSE), ('has_hypertension', 'boolean', 'boolean', TRUE, TRUE, FALSE),
-  ('has_diabetes', 'boolean', 'categorical', TRUE, FALSE, FALSE), ('has_heart_disease', 'boolean', NULL, FALSE, FALSE, FALSE),
-  ('systolic_bp', 'numeric', 'numeric', TRUE, TRUE, FALSE), ('diastolic_bp', 'numeric', 'numeric', TRUE, TRUE, FALSE),
-  ('total_cholesterol', 'numeric', 'numeric', TRUE, TRUE, FALSE), ('hdl_cholesterol', 'numeric', 'numeric', TRUE, TRUE, FALSE),
-  ('bmi', 'numeric', 'numeric', TRUE, TRUE, FALSE), ('smoking_status', 'categorical', 'categorical', TRUE, TRUE, FALSE),
-  ('zip_code', NULL, 'categorical', TRUE, FALSE, FALSE)) v("column", expected_type, actual_type, present, type_matches, required_missing)""")
-def _(t: Tables):
-    rows = t.patients.select(*[c for c in _EXPECTED if c not in ("has_heart_disease", "has_diabetes")],
+_SCHEMA = (
+    ("age", "numeric", "numeric", "age"), ("gender", "categorical", "categorical", "gender"), ("Data_Value", "numeric", "numeric", "Data_Value"),
+    ("has_hypertension", "boolean", "boolean", "has_hypertension"), ("has_diabetes", "boolean", "categorical", "has_diabetes"),
+    ("has_heart_disease", "boolean", None, None), ("systolic_bp", "numeric", "categorical", "systolic_text"),
+    ("diastolic_bp", "numeric", "numeric", "diastolic_bp"), ("total_cholesterol", "numeric", "numeric", "total_cholesterol"),
+    ("hdl_cholesterol", "numeric", "numeric", "hdl_cholesterol"), ("bmi", "numeric", "numeric", "bmi"),
+    ("smoking_status", "categorical", "categorical", "smoking_status"), ("zip_code", None, "categorical", "zip_code"))
+
+
+def _schema_row(name, expected, actual, source) -> str:
+    text = lambda x: "NULL" if x is None else f"'{x}'"
+    wrong = "SUM(CASE WHEN systolic_text = 'n/a' THEN 1 ELSE 0 END)" if name == "systolic_bp" else "0" if source and expected else "NULL"
+    return (f"SELECT '{name}' AS \"column\", {text(expected)} AS expected_type, {text(actual)} AS actual_type, {bool(source)} AS present, "
+            f"{bool(source) and expected == actual} AS type_matches, FALSE AS required_missing, "
+            f"CAST({f'COUNT({source})' if source else 'NULL'} AS BIGINT) AS filled_values, CAST({wrong} AS BIGINT) AS wrong_values FROM {'p' if source else '(SELECT 1)'}")
+
+
+@query("q5_schema_validate", "WITH p AS (SELECT *, CASE WHEN patient_id % 7 = 0 THEN 'n/a' ELSE CAST(systolic_bp AS VARCHAR) END AS systolic_text FROM patients)\n"
+       + "\nUNION ALL ".join(_schema_row(*r) for r in _SCHEMA), ["patients"])
+def _(t: Tables):
+    rows = t.patients.select(*[c for c in _EXPECTED if c not in ("has_heart_disease", "has_diabetes", "systolic_bp")],
+                             F.when(F.col("patient_id") % 7 == 0, "n/a").otherwise(F.col("systolic_bp").cast("string")).alias("systolic_bp"),
                              F.col("has_diabetes").cast("string").alias("has_diabetes"), "zip_code")
     return quality.schema_validate(rows)
 

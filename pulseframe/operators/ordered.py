@@ -19,13 +19,18 @@ CHUNK_ROWS = 500_000
 
 
 def chunked(df: DataFrame, order: Sequence[Column | str], chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, int]:
-    """Add ``_chunk``: rows of a chunk sort entirely before those of the next."""
-    n = df.count()
-    parts = -(-n // chunk_rows) if n else 1
-    if parts == 1:
-        return df.withColumn("_chunk", F.lit(0)), 1
-    # Range boundaries are sampled in a pass of their own: compute the rows once.
+    """Add ``_chunk``: rows of a chunk sort entirely before those of the next.
+
+    Groups come first in ``order``, so most lie in one chunk, and one group may fill several.
+    """
+    # Counted, sampled for range boundaries and read: computed once.
     stored = materialize(df, "grouped")
+    n = stored.count()
+    # Not more chunks than a few rounds of the cluster's tasks; larger ones sort on disk.
+    most = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(-(-n // chunk_rows), most))
+    if parts == 1:
+        return stored.withColumn("_chunk", F.lit(0)), 1
     ranged = stored.repartitionByRange(parts, *order).withColumn("_chunk", F.spark_partition_id())
     return materialize(ranged, "chunks"), parts
 
@@ -43,7 +48,7 @@ def running_totals(
     ``df`` must hold one row per (by, key), as a grouping yields.
     """
     order = F.col(key).desc() if descending else F.col(key).asc()
-    data, parts = chunked(df, [order], chunk_rows)
+    data, parts = chunked(df, [*[F.col(b) for b in by], order], chunk_rows)
     inside = (Window.partitionBy(*by, "_chunk").orderBy(order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = data
@@ -56,13 +61,15 @@ def running_totals(
             *[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
         offsets = sums.select(
             *[F.col(b).alias(f"_b_{b}") for b in by], F.col("_chunk").alias("_at"),
-            *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals])
+            *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in totals],
+            F.count(F.lit(1)).over(before).alias("_earlier"))
+        offsets = offsets.where("_earlier > 0").drop("_earlier")  # only groups that cross a boundary
         match = F.col("_chunk") == F.col("_at")
         for b in by:
             match = match & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
         out = out.join(offsets, match, "left")
         for name in totals:
-            out = out.withColumn(name, F.col(name) + F.col(f"_o_{name}"))
+            out = out.withColumn(name, F.col(name) + F.coalesce(F.col(f"_o_{name}"), F.lit(0)))
         out = out.drop("_at", *[f"_b_{b}" for b in by], *[f"_o_{n}" for n in totals])
     return out.drop("_chunk")
 

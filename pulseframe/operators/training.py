@@ -153,7 +153,7 @@ def classifier(kind: str, rows: int, label: str = "label", **params):
 
 
 CLASSIFIER_GRIDS = {
-    "random_forest": {"numTrees": [100, 200, 300], "maxDepth": [10, 20], "minInstancesPerNode": [1, 2, 4]},
+    "random_forest": {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4]},
     "gradient_boosting": {"maxIter": [100, 200], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 5, 7],
                           "subsamplingRate": [0.8, 0.9, 1.0]},
     "logistic_regression": {"regParam": [100.0, 10.0, 1.0, 0.1], "elasticNetParam": [1.0, 0.0]},
@@ -162,7 +162,7 @@ CLASSIFIER_GRIDS = {
 REGRESSOR_GRIDS = {
     "ridge": {"regParam": [0.1, 1.0, 10.0, 100.0]},
     "lasso": {"regParam": [0.01, 0.1, 1.0, 10.0], "maxIter": [1000, 2000, 5000]},
-    "random_forest": {"numTrees": [50, 100, 200], "maxDepth": [10, 20], "minInstancesPerNode": [1, 2, 4]},
+    "random_forest": {"numTrees": [50, 100, 200], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4]},
     "gradient_boosting": {"maxIter": [50, 100, 200], "stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 5, 7],
                           "subsamplingRate": [0.8, 0.9, 1.0]},
 }

@@ -110,6 +110,55 @@ EPISODE_RULES = (
     Rule("check_goals_consistency", "goals_achieved <= goals_total"),
     Rule("check_episode_type", "episode_type IN ('acute', 'chronic', 'preventive', 'follow_up')"),
 )
+RISK_FACTOR_RULES = (
+    Rule("check_risk_level", "risk_level IN ('low', 'moderate', 'high', 'severe')"),
+    Rule("check_severity", "severity IN ('mild', 'moderate', 'severe')"),
+    Rule("check_confidence", "confidence_level IN ('definite', 'probable', 'possible')"),
+    Rule("check_risk_score_range", "risk_score >= 0 AND risk_score <= 1"),
+)
+PROVIDER_RULES = (
+    Rule("check_star_rating_range", "star_rating >= 1 AND star_rating <= 5"),
+    Rule("check_satisfaction_range", "patient_satisfaction_score >= 0 AND patient_satisfaction_score <= 100"),
+    Rule("check_cv_cases_non_negative", "annual_cv_cases >= 0"),
+    Rule("check_provider_type", "provider_type IN ('individual', 'organization')"),
+)
+RELATIONSHIP_RULES = (
+    Rule("check_satisfaction_rating", "satisfaction_rating >= 1 AND satisfaction_rating <= 5"),
+    Rule("check_communication_rating", "communication_rating >= 1 AND communication_rating <= 5"),
+    Rule("check_total_visits_non_negative", "total_visits >= 0"),
+    Rule("check_relationship_type", "relationship_type IN ('primary_care', 'specialist', 'consulting', 'emergency')"),
+    Rule("check_care_level", "care_level IN ('primary', 'secondary', 'tertiary')"),
+)
+SYNC_RULES = (
+    Rule("check_progress_range", "progress_percentage >= 0 AND progress_percentage <= 100"),
+    Rule("check_records_received_non_negative", "records_received >= 0"),
+    Rule("check_records_processed_non_negative", "records_processed >= 0"),
+    Rule("check_sync_status", "status IN ('queued', 'running', 'completed', 'failed', 'cancelled')"),
+    Rule("check_sync_type", "sync_type IN ('full', 'incremental', 'validation')"),
+)
+PROCESSING_RULES = (
+    Rule("check_processing_progress_range", "progress_percentage >= 0 AND progress_percentage <= 100"),
+    Rule("check_input_records_positive", "input_records_count > 0"),
+    Rule("check_output_records_non_negative", "output_records_count >= 0"),
+    Rule("check_job_type", "job_type IN ('validation', 'cleaning', 'transformation', 'feature_engineering')"),
+    Rule("check_processing_status", "status IN ('queued', 'running', 'completed', 'failed', 'cancelled')"),
+)
+BATCH_RULES = (
+    Rule("check_total_records_positive", "total_records > 0"),
+    Rule("check_processed_records_non_negative", "processed_records >= 0"),
+    Rule("check_successful_predictions_non_negative", "successful_predictions >= 0"),
+    Rule("check_failed_predictions_non_negative", "failed_predictions >= 0"),
+    Rule("check_job_status", "job_status IN ('queued', 'running', 'completed', 'failed', 'cancelled')"),
+)
+PERFORMANCE_RULES = (
+    Rule("check_r2_score_range", "r2_score >= 0 AND r2_score <= 1"),
+    Rule("check_total_predictions_non_negative", "total_predictions >= 0"),
+    Rule("check_correct_predictions_non_negative", "correct_predictions >= 0"),
+)
+TRAINING_JOB_RULES = (
+    Rule("check_progress_range", "progress_percentage >= 0 AND progress_percentage <= 100"),
+    Rule("check_job_status", "status IN ('queued', 'running', 'completed', 'failed', 'cancelled')"),
+)
 FEEDBACK_RULES = (
     Rule("check_provider_rating_range", "provider_rating >= 1 AND provider_rating <= 5"),
     Rule("check_corrected_risk_range", "corrected_risk_score >= 0 AND corrected_risk_score <= 1"),

@@ -47,6 +47,41 @@ SELECT o_orderkey AS patient_id,
   o_orderdate AS record_date
 FROM {orders}"""
 
+# Records of the administrative tables: each column takes values inside and outside its limits, and nulls.
+_RANGES = {
+    "risk_score": 1, "star_rating": 5, "patient_satisfaction_score": 100, "annual_cv_cases": 40, "satisfaction_rating": 5,
+    "communication_rating": 5, "total_visits": 30, "progress_percentage": 100, "records_received": 900, "records_processed": 800,
+    "input_records_count": 700, "output_records_count": 600, "total_records": 500, "processed_records": 400,
+    "successful_predictions": 300, "failed_predictions": 20, "r2_score": 1, "total_predictions": 250, "correct_predictions": 200,
+    "mse_score": 3, "mae_score": 2, "training_data_size": 1000, "severity_score": 5, "length_of_stay_days": 14, "data_completeness": 1,
+    "total_cost": 9000, "care_coordination_score": 1, "admission_risk_score": 1, "number_of_encounters": 9, "goals_achieved": 6,
+    "goals_total": 7, "data_completeness_score": 1, "confidence_score": 1, "usage_count": 50,
+}
+_KINDS = {
+    "risk_level": "low moderate high severe none", "severity": "mild moderate severe fatal", "confidence_level": "definite probable possible sure",
+    "provider_type": "individual organization group", "relationship_type": "primary_care specialist consulting emergency family",
+    "care_level": "primary secondary tertiary home", "status": "queued running completed failed cancelled training active deprecated",
+    "sync_type": "full incremental validation partial", "job_type": "validation cleaning transformation feature_engineering export",
+    "job_status": "queued running completed failed cancelled lost", "urgency_level": "routine urgent emergent elective",
+    "episode_type": "acute chronic preventive follow_up other", "processing_status": "uploaded processing processed failed unknown",
+}
+
+
+def _spread_values(i: int, top: float) -> str:
+    at = f"(o_orderkey * {2 * i + 7} + {i}) % 1000"
+    return f"CASE WHEN o_orderkey % {i + 13} = 0 THEN NULL ELSE (CAST({at} AS DOUBLE) - 40) * {top * 1.1 / 960!r} END"
+
+
+def _spread_kinds(i: int, names: str) -> str:
+    kinds = names.split()
+    cases = " ".join(f"WHEN (o_orderkey + {i}) % {len(kinds) + 1} = {k} THEN '{n}'" for k, n in enumerate(kinds))
+    return f"CASE {cases} END"
+
+
+FRAMES["records"] = "SELECT o_orderkey AS record_id, " + ",\n  ".join(
+    [f"{_spread_values(i, top)} AS {c}" for i, (c, top) in enumerate(_RANGES.items())]
+    + [f"{_spread_kinds(i, names)} AS {c}" for i, (c, names) in enumerate(_KINDS.items())]) + "\nFROM {orders}"
+
 FRAMES["survey"] = """
 SELECT sid, Age, Sex, BMI, Smoking, HighBP, HighChol, Diabetes, PhysActivity, HvyAlcoholConsump, PhysHlth, MentHlth,
   NoDocbcCost, GenHlth, Education,

@@ -316,6 +316,17 @@ def _(t: Tables):
     return quality.constraint_check(t.datasets, rules)
 
 
+_RECORD_RULES = {
+    "models": R.MODEL_RULES, "outcomes": R.OUTCOME_RULES, "episodes": R.EPISODE_RULES, "risk_factors": R.RISK_FACTOR_RULES,
+    "providers": R.PROVIDER_RULES, "relationships": R.RELATIONSHIP_RULES, "sync_jobs": R.SYNC_RULES, "processing_jobs": R.PROCESSING_RULES,
+    "batches": R.BATCH_RULES, "performance_history": R.PERFORMANCE_RULES, "training_jobs": R.TRAINING_JOB_RULES,
+    "completeness": [r for r in (*R.PATIENT_RULES, *R.PREDICTION_RULES, *R.DATASET_RULES)
+                     if r.predicate.split()[0] in ("data_completeness_score", "confidence_score", "usage_count", "processing_status")]}
+for _name, _rules in _RECORD_RULES.items():
+    query(f"q19_constraints_{_name}", _violations(_rules, "records"), ["records"])(
+        lambda t, rules=_rules: quality.constraint_check(t.records, rules))
+
+
 @query("q19_unique_key", """
 SELECT 'uq_patient_day' AS rule, 'error' AS severity, COUNT(*) - COUNT(DISTINCT (patient_id, measurement_date)) AS violations FROM vitals""", ["vitals"])
 def _(t: Tables):

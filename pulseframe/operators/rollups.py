@@ -113,20 +113,37 @@ def latest_time(df: DataFrame, ts: str = "created_at") -> str | None:
 
 
 def prediction_statistics(
-    df: DataFrame, timeframe: str = "30d", as_of: str | None = None, user_id=None
+    df: DataFrame, timeframe: str | Sequence[str] = "30d", as_of: str | None = None, user_id=None, ts: str = "created_at"
 ) -> DataFrame:
-    """Totals, distribution, score statistics and model count of a timeframe."""
-    as_of = as_of or latest_time(df)
-    rows = in_timeframe(df, timeframe, as_of)
+    """Totals, distribution, score statistics and model count of one or several timeframes.
+
+    All timeframes come from one pass over the rows of the widest and one quantile
+    search over a masked column each. A timeframe without rows has zero counts.
+    """
+    frames = [timeframe] if isinstance(timeframe, str) else list(timeframe)
+    as_of = as_of or latest_time(df, ts)
+    unknown = [f for f in frames if f != "all" and f not in TIMEFRAME_HOURS]
+    if unknown:
+        raise ValueError(f"unknown timeframe {unknown[0]}")
+    widest = "all" if "all" in frames else max(frames, key=TIMEFRAME_HOURS.get)
+    rows = in_timeframe(df, widest, as_of, ts)
     if user_id is not None:
         rows = rows.where(F.col("user_id") == user_id)
-    n = F.count(F.lit(1))
-    cat = F.col("risk_category")
-    return rows.agg(
-        F.lit(timeframe).alias("timeframe"), n.alias("total_predictions"), *category_counts(cat),
+    at = F.lit(as_of).cast("timestamp_ntz")
+    inside = {f: F.lit(True) if f == "all" else F.col(ts) >= at - F.make_dt_interval(hours=F.lit(TIMEFRAME_HOURS[f])) for f in frames}
+    found = stats.quantiles(rows.select(*[F.when(i, F.col("risk_score")).alias(f) for f, i in inside.items()]), {f: [0.5] for f in frames})
+    n, cat = F.count(F.lit(1)), F.col("risk_category")
+    fits = F.array_compact(F.array(*[F.when(i, F.lit(f)) for f, i in inside.items()]))
+    got = rows.select(F.explode(fits).alias("timeframe"), "risk_category", "risk_score", "model_version").groupBy("timeframe").agg(
+        n.alias("total_predictions"), *category_counts(cat),
         *[_share(F.count_if(cat == c), n).alias(f"{c}_percentage") for c in ("low", "medium", "high")],
-        *score_stats("risk_score", _median(rows, "risk_score")),
-        F.count_distinct("model_version").alias("model_versions"))
+        *[c for c in score_stats("risk_score", F.lit(None).cast("double"))],
+        F.count_distinct("model_version").alias("model_versions")).drop("median_risk_score")
+    asked = df.sparkSession.createDataFrame([(f, found[f][0]) for f in frames], "timeframe string, median double")
+    out = asked.join(got, "timeframe", "left")
+    zero = [c for c in got.columns if c.endswith("_count") or c in ("total_predictions", "model_versions")]
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero}).withColumn(
+        "median_risk_score", r(F.col("median"))).drop("median")
 
 
 def daily_trend(df: DataFrame, ts: str = "created_at") -> DataFrame:

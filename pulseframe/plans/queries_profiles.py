@@ -415,12 +415,7 @@ def _statistics(frame: str) -> str:
 
 @query("q26_prediction_statistics", " UNION ALL ".join(_statistics(f) for f in _HOURS), ["predictions"])
 def _(t: Tables):
-    as_of = rollups.latest_time(t.predictions)
-    out = None
-    for frame in _HOURS:
-        one = rollups.prediction_statistics(t.predictions, frame, as_of)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return rollups.prediction_statistics(t.predictions, list(_HOURS))
 
 
 _DAILY = """COUNT(*) AS total, SUM(CASE WHEN risk_category = 'low' THEN 1 ELSE 0 END)::BIGINT AS low_risk,

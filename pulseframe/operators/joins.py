@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.operators import ordered
+from pulseframe.session import materialize
 
 MERGE_KEYS = ("locationdesc", "locationabbr", "yearstart", "topic", "question")
 
@@ -33,7 +34,9 @@ def merge_sources(frames: Mapping[str, DataFrame], keys: Sequence[str] | None =
     """Full outer join from left to right on the shared keys.
 
     Null keys match each other; a clashing column of a later source gets the
-    source name as suffix. Without a shared key the sources are stacked.
+    source name as suffix. Without a shared key the sources are stacked. Each
+    join is a left join and the later source's rows without a match: a key
+    that holds much of a source can be split in both, but not in Spark's full outer join.
     """
     if not frames:
         raise ValueError("no sources to merge")
@@ -42,16 +45,19 @@ def merge_sources(frames: Mapping[str, DataFrame], keys: Sequence[str] | None =
         return union_sources(list(frames.values()))
     names = list(frames)
     out = frames[names[0]]
-    for name in names[1:]:
+    for step, name in enumerate(names[1:]):
+        if step:
+            out = materialize(out, "merged")  # read twice below
         right = frames[name]
         taken = set(out.columns)
         renamed = right.select(*[
             F.col(c).alias(f"_k_{c}" if c in keys else f"{c}_{name}" if c in taken else c) for c in right.columns])
         match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-        joined = out.join(renamed, match, "full")
-        kept = [F.coalesce(F.col(c), F.col(f"_k_{c}")).alias(c) if c in keys else F.col(c) for c in out.columns]
-        added = [F.col(c) for c in renamed.columns if not c.startswith("_k_")]
-        out = joined.select(*kept, *added)
+        added = [c for c in renamed.columns if not c.startswith("_k_")]
+        met = out.join(renamed, match, "left").select(*out.columns, *added)
+        seen = out.select(*keys).distinct()
+        alone = renamed.join(seen, match, "left_anti").select(*[F.col(f"_k_{k}").alias(k) for k in keys], *added)
+        out = met.unionByName(alone, allowMissingColumns=True)
     return out
 
 

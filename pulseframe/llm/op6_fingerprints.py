@@ -161,8 +161,9 @@ def with_next(docs: DataFrame, carried: list[str], range_rows: int = RANGE_ROWS)
     ahead = placed.withColumn("_next", F.lead(value).over(order)).withColumn("_end", F.lead(F.lit(1)).over(order).isNull())
     # The first document of each range, for the last one of the range before it.
     firsts = placed.groupBy("_range").agg(F.max("doc_id").alias("_first"))
+    # One id per range, at most MAX_RANGES of them, is small enough to be sent along.
     heads = placed.select("_range", "doc_id", "_tie", value.alias("_head")).join(
-        firsts.select(F.col("_range").alias("_r"), "_first"), (F.col("_range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+        F.broadcast(firsts.select(F.col("_range").alias("_r"), "_first")), (F.col("_range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_first")))
     heads = heads.groupBy("_range").agg(F.min_by("_head", "_tie").alias("_head"))
     nulls = not docs.where("doc_id IS NULL").isEmpty()
     top, bottom = len(bounds) - 1, -1 if nulls else 0

@@ -9,6 +9,7 @@ pass over the rows itself stays a narrow projection.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -207,8 +208,11 @@ def _order_statistics(data: DataFrame, head: Mapping[int, tuple], ranks: set[tup
             got.setdefault(keys[tuple(r[k] for k in by_key)], []).append(r)
         previous, open_ = open_, {}
         for key, (below, _, wanted) in previous.items():
+            ascending, at = sorted(wanted), 0
             for r in sorted(got.get(key, []), key=lambda r: r["cell"]):
-                if inside := {w for w in wanted if below <= w < below + r["n"]}:
+                past = bisect_left(ascending, below + r["n"], at)
+                inside, at = set(ascending[at:past]), past
+                if inside:
                     place((key[0], r["cell"] if by_key == ["c"] else key[1], r["lo"], r["hi"]), below, r["n"], inside)
                 below += r["n"]
         if not open_:

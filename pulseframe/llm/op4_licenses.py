@@ -98,16 +98,26 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD, file_share: flo
     units = likely.select("path", F.size(words(F.col("text"))).alias("n_file"), F.posexplode(F.concat(F.split("text", "\n"), several, F.array("text"))).alias("unit", "text"))
     units = units.select("path", "n_file", "unit", F.xxhash64("text").alias("tie"), words(F.col("text")).alias("words"))
     units = units.where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in lead])))
-    counts = units.select("path", "n_file", "unit", "tie", F.size("words").alias("n_unit"), F.explode("words").alias("word")).groupBy(
-        "path", "n_file", "unit", "tie", "n_unit", "word").agg(F.count("*").alias("tf"))
+    units = materialize(units.withColumn("n_unit", F.size("words")), "licence_units")
+    unit = ["path", "n_file", "unit", "tie", "n_unit"]
+    # First the template words alone (a table of fixed size): what a unit's other words add to its length is at least 1 each.
+    table = F.broadcast(spark.createDataFrame(weights, "template int, license string, word string, tw double"))
+    given = F.broadcast(spark.createDataFrame(list(idf.items()), "word string, idf double"))
+    ours = units.select(*unit, F.explode("words").alias("word")).join(given, "word").groupBy(*unit, "word", "idf").agg(F.count("*").alias("tf"))
+    ours = ours.groupBy(*unit).agg(
+        F.collect_list(F.struct("word", (F.col("tf") * F.col("idf")).alias("w"))).alias("terms"), F.sum("tf").alias("n_ours"))
+    square = F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["w"] * t["w"])
+    bound = ours.withColumn("least", F.sqrt(square + F.col("n_unit") - F.col("n_ours")))
+    dot = bound.select(*unit, "least", F.explode("terms").alias("t")).select(*unit, "least", "t.word", "t.w").join(table, "word")
+    dot = dot.groupBy(*unit, "least", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    dot = materialize(dot.where(F.col("dot") >= threshold * F.col("least") - 1e-6).select(*unit, "license", "dot"), "licence_candidates")
+    # Then the exact length of the few units that are left.
+    near = units.join(dot.select(*unit).distinct(), unit, "left_semi")
+    counts = near.select(*unit, F.explode("words").alias("word")).groupBy(*unit, "word").agg(F.count("*").alias("tf"))
     counts = counts.withColumn("bucket", bucket(F.col("word"))).join(frequency, "bucket", "left")
     counts = counts.withColumn("w", F.col("tf") * (F.log((1 + F.lit(total)) / (1 + F.coalesce("n", F.lit(0)))) + 1))
-    table = spark.createDataFrame(weights, "template int, license string, word string, tw double")
-    unit = ["path", "n_file", "unit", "tie", "n_unit"]
-    length = counts.groupBy(*unit).agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.collect_list(F.struct("word", "w")).alias("terms"))
-    dot = length.select(*unit, "length", F.explode("terms").alias("t")).select(*unit, "length", "t.word", "t.w").join(table, "word")
-    cosine = dot.groupBy(*unit, "length", "template", "license").agg((F.sum(F.col("w") * F.col("tw"))).alias("dot"))
+    length = counts.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    cosine = dot.join(length, unit)
     cosine = cosine.withColumn("cosine", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("cosine") >= threshold)
     return cosine.groupBy("path").agg(
         F.min_by("license", F.struct(-F.col("cosine"), "license")).alias("license"), F.max("cosine").alias("cosine"),

@@ -48,16 +48,20 @@ def simhash(text: bytes, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the signed form of each text's 64-bit fingerprint. Null texts have no words."""
+    """(doc_id, tie, fp): the signed form of each text's 64-bit fingerprint, and its hash. Null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [simhash(t) for _, texts in slices(batch) for t in texts]
             signed = np.array(fp, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(signed)], names=["doc_id", "tie", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), _tie(docs)).mapInArrow(
+        run, "doc_id long, tie long, fp long")
+
+
+def _tie(docs: DataFrame):
+    return F.xxhash64(docs["text"].cast("string")).alias("tie")
 
 
 # -- the trie join inside one group --------------------------------------------
@@ -242,6 +246,18 @@ def links(distinct: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROW
     return rest if found is None else found.unionByName(rest)
 
 
+def _labelled(docs: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, tie, fp), and (fp, head, root) per fingerprint: its first row and the class it is in.
+
+    The first row has the smallest doc_id, null ids last, and of these the smallest hash of its text.
+    """
+    fps = materialize(fingerprints(docs), "simhash")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("head")
+    nodes = materialize(fps.groupBy("fp").agg(head), "simhash_nodes")
+    roots = components(links(nodes.select("fp"), budget), "simhash_links")
+    return fps, nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
+
+
 def classes(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(doc_id, fp, component_id, n_links): linked documents have the smallest doc_id reachable.
 
@@ -250,14 +266,10 @@ def classes(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     the fingerprint 0 and links like any other; a null doc_id counts only if its class has
     no other id. Repeated rows keep their rows.
     """
-    fps = materialize(fingerprints(docs), "simhash")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash_nodes")
-    roots = components(links(nodes.select("fp"), budget), "simhash_links")
-    labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    label = labelled.groupBy("root").agg(F.min("first").alias("component_id"), (F.count("*") - 1).alias("n_links"))
+    fps, labelled = _labelled(docs, budget)
+    label = labelled.groupBy("root").agg(F.min("head.doc_id").alias("component_id"), (F.count("*") - 1).alias("n_links"))
     member = labelled.join(label, "root").select(F.col("fp").alias("_fp"), "component_id", "n_links")
-    return fps.join(member, fps["fp"] == member["_fp"]).drop("_fp")
+    return fps.join(member, fps["fp"] == member["_fp"]).drop("_fp", "tie")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -266,10 +278,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id (of repeated rows, one), in the columns of ``docs``."""
+    """One document of each class, the one with the smallest doc_id and text hash, in the columns of ``docs``.
+
+    Null ids come last. An id does not name a document: rows of one id, or without one, are told
+    apart by their texts; of rows with the same id and text, one stays.
+    """
     names = docs.columns
-    winners = classes(docs).groupBy("component_id").agg(F.count("*").alias("_n")).select(F.col("component_id").alias("_id"))
-    kept = docs.join(winners, docs["doc_id"].eqNullSafe(winners["_id"]), "left_semi")
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+    fps, labelled = _labelled(docs, BUDGET)
+    winners = labelled.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("_id"), F.col("head.tie").alias("_tie"))
+    kept = docs.join(winners, docs["doc_id"].cast("long").eqNullSafe(winners["_id"]) & (_tie(docs) == winners["_tie"]), "left_semi")
+    if not fps.groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
+        mark = max(names, key=len) + "_"  # a name that no column has
+        kept = kept.withColumn(mark, F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", mark])
     return kept.select(*[F.col(f"`{c}`") for c in names])

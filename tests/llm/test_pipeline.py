@@ -36,3 +36,15 @@ def test_empty_table(spark, folder):
     docs = read(spark, folder, "documents").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_near_duplicates_keep_a_document_of_every_class_without_ids(spark):
+    """Null and repeated ids do not name a document: every text that is no copy stays, once."""
+    text = [" ".join(f"{w}{k}" for k in range(40)) for w in "abcdef"]
+    rows = [(None, text[0]), (None, text[1]), (5, text[2]), (5, text[3]), (None, text[4]), (7, text[4]), (7, text[4]), (9, text[2]),
+            (None, text[5]), (None, text[5]), (5, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _id string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
+        [(None, text[0]), (None, text[1]), (5, text[2]), (5, text[3]), (7, text[4]), (None, text[5]), (5, None)])

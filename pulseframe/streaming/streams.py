@@ -6,10 +6,13 @@ runs the very same code. Event-time state is bounded by a watermark.
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,6 +86,10 @@ def stream_score(df: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> Dat
     return scorer(df)
 
 
+#: A time so early that any row may follow it, and the bytes of a key's rows that a stream worker holds in memory.
+_NEVER, HELD_BYTES = -(2 ** 62), 16_000_000
+
+
 def _ttl_filter(at: np.ndarray, last: int | None, ttl: int) -> tuple[np.ndarray, int | None]:
     """Which of the ascending times are let through, and the last one that was."""
     kept = np.zeros(len(at), bool)
@@ -99,7 +106,11 @@ def dedup_ttl(df: DataFrame, keys: list[str], ts: str = "ts", tie: str | None =
 
     The time to live runs from the row that went through, so repeats do not
     extend it. The state of a key is one time stamp, and goes when the watermark has passed
-    its end. Rows of one micro-batch are taken in order of time and ``tie``.
+    its end. Rows of one micro-batch are taken in order of time and ``tie``. A row without a
+    time repeats none and goes through.
+
+    Of a key's rows in a micro-batch the distinct times and the rows let through are in
+    memory; the rows wait in a temporary file of the worker when they are many.
     """
     ttl = seconds * 1_000_000
     order = ["_at", tie] if tie else ["_at"]
@@ -109,43 +120,124 @@ def dedup_ttl(df: DataFrame, keys: list[str], ts: str = "ts", tie: str | None =
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        kept, last = _ttl_filter(rows["_at"].to_numpy(), state.get[0] if state.exists else None, ttl)
-        end, mark = (last + ttl) // 1000, state.getCurrentWatermarkMs()
-        if end > mark:
-            state.update((last,))
-            state.setTimeoutTimestamp(end)
-        elif state.exists:
-            state.remove()
-        yield rows[kept].drop(columns="_at")
+        with tempfile.SpooledTemporaryFile(HELD_BYTES) as waiting:
+            times = []
+            for rows in batches:
+                pickle.dump(rows, waiting, pickle.HIGHEST_PROTOCOL)
+                times.append(np.unique(rows["_at"].dropna().to_numpy(np.int64)))
+            at = np.unique(np.concatenate(times))
+            kept, last = _ttl_filter(at, state.get[0] if state.exists else None, ttl)
+            if last is not None:
+                end, mark = (last + ttl) // 1000, state.getCurrentWatermarkMs()
+                if end > mark:
+                    state.update((last,))
+                    state.setTimeoutTimestamp(end)
+                elif state.exists:
+                    state.remove()
+            waiting.seek(0)
+            through = []
+            for _ in times:
+                rows = pickle.load(waiting)
+                timeless = rows["_at"].isna()
+                if timeless.any():
+                    yield rows[timeless].drop(columns="_at")
+                through.append(rows[rows["_at"].isin(at[kept])])
+                through = [pd.concat(through).sort_values(order, kind="stable").drop_duplicates("_at")]
+        yield through[0].drop(columns="_at")
 
     out = T.StructType([f for f in rows.schema if f.name != "_at"])
     return rows.groupBy(*keys).applyInPandasWithState(run, out, "last long", "append", "EventTimeTimeout")
 
 
+def _ttl_steps(at: np.ndarray, since: int, ttl: int) -> tuple[list[int], list[int]]:
+    """(enter, leave): what a chunk of times from ``since`` on makes of the last time let through before it.
+
+    If no row may go through before the time t, the chunk leaves the ``leave`` of the first ``enter``
+    at or after t as the last one, and without one what came in. Both ascend.
+    """
+    at = np.unique(at)
+    ahead, leave = np.searchsorted(at, at + ttl).tolist(), at.tolist()
+    for i in range(len(at) - 1, -1, -1):
+        if ahead[i] < len(leave):
+            leave[i] = leave[ahead[i]]
+    reached = int(np.searchsorted(at, since + ttl)) + 1  # what came in is before the chunk
+    at, leave = at[:reached], np.array(leave[:reached])
+    turn = np.flatnonzero(np.append(leave[1:] != leave[:-1], True))
+    return at[turn].tolist(), leave[turn].tolist()
+
+
+def _step_rows(rows: list[tuple]):
+    if rows:
+        kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["_key", "_chunk", "enter", "leave"])
+
+
+def _ttl_runs(batch: pa.RecordBatch):
+    """(key, chunk, first, end) of the runs of a batch sorted by key and chunk."""
+    keys, chunks = batch.column("_key").to_numpy(zero_copy_only=False), batch.column("_chunk").to_numpy()
+    if len(keys):
+        first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1]))))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)]):
+            yield keys[a], int(chunks[a]), a, b
+
+
 def dedup_ttl_batch(df: DataFrame, keys: list[str], ts: str = "ts", tie: str | None = None, seconds: int = 1800) -> DataFrame:
-    """Batch form of the same rule, over partitions sorted by key and time.
+    """Batch form of the same rule; a key's rows are cut into chunks of a day, which are separate groups.
 
-    A task goes through its sorted rows and remembers one key and time stamp, so
-    a key of any size needs no memory; its rows are one task's work, as each depends on the last.
+    What a chunk needs of those before it is one time stamp. A first pass over the times finds what each chunk
+    would make of any such time stamp, a second one over a row per chunk passes it on along the key, and in the third
+    the chunks, each behind the time stamp it gets, go through by themselves. Rows without a time all go through.
     """
     ttl = seconds * 1_000_000
-    rows = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_key", F.to_json(F.struct(*keys)))
-    rows = rows.repartition("_key").sortWithinPartitions("_key", "_at", *([tie] if tie else []))
+    width, names = max(ttl, 86_400_000_000), df.columns
+    spot = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.where(spot.isNotNull()).withColumn("_at", spot).withColumn("_key", F.to_json(F.struct(*keys)))
+    rows = rows.withColumn("_chunk", F.expr(f"(_at - pmod(_at, {width}L)) div {width}L"))
+
+    def steps(batches):
+        name, held = None, []
+        for batch in batches:
+            at, out = batch.column("_at").to_numpy(), []
+            for key, chunk, a, b in _ttl_runs(batch):
+                if (key, chunk) != name:
+                    if held:
+                        out.append((*name, *_ttl_steps(np.concatenate(held), name[1] * width, ttl)))
+                    name, held = (key, chunk), []
+                held.append(np.unique(at[a:b]))
+            yield from _step_rows(out)
+        if held:
+            yield from _step_rows([(*name, *_ttl_steps(np.concatenate(held), name[1] * width, ttl))])
+
+    def passed_on(batches):
+        key, last = None, _NEVER
+        for batch in batches:
+            given = []
+            for name, enter, leave in zip(*(batch.column(c).to_pylist() for c in ("_key", "enter", "leave"))):
+                if name != key:
+                    key, last = name, _NEVER
+                given.append(last)
+                j = int(np.searchsorted(enter, last + ttl))
+                last = leave[j] if j < len(enter) else last
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_chunk"), pa.array(given, pa.int64())], names=["_key", "_chunk", "_at"])
 
     def run(batches):
-        key, last = None, None
+        last = _NEVER
         for batch in batches:
-            names, at = batch["_key"].to_numpy(), batch["_at"].to_numpy()
-            first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.empty(0, int)
-            kept = np.zeros(len(names), bool)
-            for a, b in zip(first, [*first[1:], len(names)]):
-                if names[a] != key:
-                    key, last = names[a], None
+            at, data = batch.column("_at").to_numpy(), batch.column("_data").to_numpy(zero_copy_only=False).astype(bool)
+            kept = np.zeros(len(at), bool)
+            for _, _, a, b in _ttl_runs(batch):
+                if not data[a]:
+                    a, last = a + 1, int(at[a])
                 kept[a:b], last = _ttl_filter(at[a:b], last, ttl)
-            yield batch[kept].drop(columns=["_at", "_key"])
-
-    return rows.where("_at IS NOT NULL").mapInPandas(run, df.schema)
+            yield batch.filter(pa.array(kept)).select(names)
+
+    times = rows.select("_key", "_chunk", "_at").repartition("_key", "_chunk").sortWithinPartitions("_key", "_chunk")
+    table = times.mapInArrow(steps, "_key string, _chunk long, enter array<long>, leave array<long>")
+    marks = table.repartition("_key").sortWithinPartitions("_key", "_chunk").mapInArrow(passed_on, "_key string, _chunk long, _at long")
+    marks = marks.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema], "_at", "_key", "_chunk", F.lit(False).alias("_data"))
+    dealt = rows.withColumn("_data", F.lit(True)).unionByName(marks).repartition("_key", "_chunk")
+    dealt = dealt.sortWithinPartitions("_key", "_chunk", "_data", "_at", *([tie] if tie else []))
+    return dealt.mapInArrow(run, df.schema).unionByName(df.where(spot.isNull()))
 
 
 def alert_rows(df: DataFrame, score: str = "risk_score", threshold: float = risk.HIGH_FROM) -> DataFrame:

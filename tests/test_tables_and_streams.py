@@ -1,6 +1,7 @@
 """Sources, joins, rankings, jobs and streams on small fixtures."""
 
 import datetime as dt
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -163,6 +164,42 @@ def test_dedup_within_ttl_is_one_rule_in_batch_and_stream(spark, tmp_path):
         assert sorted(r["value"] for r in out.collect()) == want, name
 
 
+def _brute_ttl(rows, seconds):
+    last, out = {}, []
+    for k, at, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        if k not in last or at >= last[k] + dt.timedelta(seconds=seconds):
+            last[k] = at
+            out.append(v)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seconds", [1800, 100_000])
+def test_dedup_within_ttl_cuts_a_key_without_gaps_into_tasks(spark, seconds):
+    draw = random.Random(seconds)
+    rows = [(k, ts("1969-12-28") + dt.timedelta(seconds=draw.randrange(8 * 86_400)), v) for v, k in enumerate([1] * 3_000 + [2] * 40 + [None] * 300)]
+    df = spark.createDataFrame(rows, EVENTS)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = streams.dedup_ttl_batch(df, ["user_id"], tie="value", seconds=seconds).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sorted(r["value"] for r in got) == _brute_ttl(rows, seconds)
+    assert len({r["task"] for r in got if r["user_id"] == 1}) > 1
+
+
+def test_rows_without_a_time_go_through(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "HELD_BYTES", 10)
+    rows = [(1, ts("2024-01-01"), 0), (1, None, 1), (1, ts("2024-01-01 00:10:00"), 2), (1, None, 3), (2, None, 4), (1, ts("2024-01-01 00:30:00"), 5)]
+    df = spark.createDataFrame(rows, EVENTS)
+    assert sorted(r["value"] for r in streams.dedup_ttl_batch(df, ["user_id"], tie="value").collect()) == [0, 1, 3, 4, 5]
+    for part in (rows[:4], rows[4:], [(1, None, 6), (1, ts("2024-01-01 00:59:00"), 7)]):
+        _land(spark, f"{tmp_path}/land", part)
+        stream = streams.file_stream(spark, f"{tmp_path}/land", df.schema)
+        out = streams.run_to_table(streams.dedup_ttl(stream, ["user_id"], tie="value"), "ttl", path=f"{tmp_path}")
+    assert sorted(r["value"] for r in out.collect()) == [0, 1, 3, 4, 5, 6]
+
+
 def test_an_older_version_never_replaces_a_newer_one(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(streams, "COMPACT_EVERY", 2)
     schema = spark.createDataFrame([], EVENTS).schema

@@ -103,8 +103,8 @@ def compare(df: DataFrame, a: str, b: str, expected: str, to: str) -> DataFrame:
     The sketches have a table per ``LOAD`` of the ``expected`` differences; digests are dealt
     to the tables by bits of their own, in two steps, so that a long text costs little
     more than its length. Likeness is the share of distinct paragraphs in both texts
-    among those in either; two texts without paragraphs are alike. What not even the last retry recovers,
-    a chance of one in many millions, counts as shared and ``whole`` is false.
+    among those in either; two texts without paragraphs are alike. Where not even the last retry recovers
+    all, ``whole`` is false and the differences are those of the two columns themselves.
     """
     groups = f"cast(pow(2, ceil(log2(greatest(1, ({expected}) / {LOAD})))) AS bigint)"
     out = df.withColumn("_high", F.expr(f"cast(pow(2, floor(log2({groups}) / 2)) AS bigint)"))
@@ -117,6 +117,8 @@ def compare(df: DataFrame, a: str, b: str, expected: str, to: str) -> DataFrame:
     out = out.withColumn("_found", F.expr(
         f"element_at(transform(array({all_}), e -> named_struct('only_a', flatten(transform(e, z -> z.a)), "
         "'only_b', flatten(transform(e, z -> z.b)), 'whole', forall(e, z -> z.whole))), 1)"))
+    exact = F.struct(F.array_except(a, b).alias("only_a"), F.array_except(b, a).alias("only_b"), F.lit(False).alias("whole"))
+    out = out.withColumn("_found", F.when(F.col("_found.whole"), F.col("_found")).otherwise(exact))
     likeness = ((F.size(a) - F.size("_found.only_a")) / (F.size(a) + F.size("_found.only_b"))).cast("double")
     likeness = F.when(F.size(a) + F.size("_found.only_b") == 0, F.lit(1.0)).otherwise(F.greatest(likeness, F.lit(0.0)))
     return out.withColumn(to, F.struct("_found.only_a", "_found.only_b", "_found.whole", likeness.alias("likeness"))).drop(
@@ -180,7 +182,7 @@ def fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     The edited text has its last half replaced by the start of the next document.
     A null text is empty, an empty one has no paragraphs and an empty sketch. A
     single document is its own next one. ``edited`` and ``next`` hold the recovered
-    digests of each side, whether all were, and the likeness.
+    digests of each side, whether the sketches gave all of them, and the likeness.
     """
     text = text_of(docs)
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).withColumn("d", digests(F.col("text")))

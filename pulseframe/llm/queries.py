@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import op1_lines, op2_simhash, op3_decontamination, op4_licenses, op5_mixing, op6_fingerprints, op7_substrings, op8_sharding, op9_quality, op10_toxicity
+from pulseframe.llm import op1_lines, op2_simhash, op3_decontamination, op4_licenses, op5_mixing, op6_fingerprints, op7_substrings, op8_sharding, op9_quality, op10_toxicity, op11_bpe
 from pulseframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +109,8 @@ def op7_substring_dedup(spark, folder):
 @query
 def op6_document_fingerprints(spark, folder):
     return op6_fingerprints.report(read(spark, folder, "documents"))
+
+
+@query
+def op11_bpe_codec(spark, folder):
+    return op11_bpe.report(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))

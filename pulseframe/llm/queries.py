@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import op1_lines, op2_simhash, op3_decontamination, op4_licenses, op5_mixing, op6_fingerprints, op7_substrings, op8_sharding, op9_quality, op10_toxicity, op11_bpe
+from pulseframe.llm import op1_lines, op2_simhash, op3_decontamination, op4_licenses, op5_mixing, op6_fingerprints, op7_substrings, op8_sharding, op9_quality, op10_toxicity, op11_bpe, op12_search
 from pulseframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,23 @@ def op6_document_fingerprints(spark, folder):
 @query
 def op11_bpe_codec(spark, folder):
     return op11_bpe.report(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op12_lexical_search(spark, folder):
+    return op12_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+CHECKS["op12_lexical_search"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+  q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+  c AS (SELECT count(*) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d WHERE len(w) > 0),
+  t AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+    WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+  f AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term),
+  s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l)))) AS BIGINT) AS score
+    FROM t JOIN f USING (term) JOIN q USING (term), c GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10"""

@@ -136,6 +136,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def best_rows(group: np.ndarray, score: np.ndarray, no_id: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the k first rows of each group, in order, and their ranks from 0.
+
+    Higher scores come first, then smaller ids; ids that are missing come last.
+    """
+    order = np.lexsort((ids, no_id, -score, group))
+    rank = np.arange(len(order)) - np.searchsorted(group[order], group[order])
+    return order[rank < k], rank[rank < k]
+
+
 def parts_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 

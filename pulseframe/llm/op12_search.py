@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from pulseframe.llm.common import byte_table, parts_for, slices
+from pulseframe.llm.common import best_rows, byte_table, parts_for, slices
 
 BLOCK_BYTES, BLOCK_ITEMS = 8_000_000, 2_000
 #: Matches that are counted at a time, and documents whose scores are held at a time.
@@ -89,11 +89,9 @@ class Best:
             return
         new = (item, scores[row, item], missing[row], ids[row])
         item, score, no_id, doc = (np.concatenate(x) for x in zip(self.rows, new))
-        order = np.lexsort((doc, no_id, -score, item))
-        first = np.searchsorted(item[order], item[order])  # rank within the item
-        order = order[np.arange(len(order)) - first < self.k]
+        order, rank = best_rows(item, score, no_id, doc, self.k)
         self.rows = [x[order] for x in (item, score, no_id, doc)]
-        full = np.flatnonzero(np.arange(len(order)) - np.searchsorted(self.rows[0], self.rows[0]) == self.k - 1)
+        full = rank == self.k - 1
         self.least[self.rows[0][full]] = self.rows[1][full]
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseframe.functions.risk import holds
+from pulseframe.operators import gram
 from pulseframe.operators import rules as R
 from pulseframe.operators import stats
 
@@ -506,11 +507,9 @@ def column_profile(df: DataFrame) -> DataFrame:
 def high_correlations(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 0.8) -> DataFrame:
     """Numeric pairs with |r| above the threshold, over rows where both are present."""
     cols = stats.numeric_columns(df) if cols is None else list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    rows = [F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.col(f"r{i}").alias("correlation"))
-            for i, (a, b) in enumerate(pairs)]
-    return df.agg(*aggs).select(F.inline(F.array(*rows))).where(F.abs("correlation") > threshold)
+    r = gram.correlations(df, cols)
+    found = [(a, b, float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j and abs(r[i, j]) > threshold]
+    return df.sparkSession.createDataFrame(found, "feature1 string, feature2 string, correlation double")
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

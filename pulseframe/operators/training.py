@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
+import numpy as np
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
@@ -11,14 +14,14 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvalu
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseframe.functions import risk
 from pulseframe.functions import text as tx
-from pulseframe.operators import evaluation, stats
+from pulseframe.operators import evaluation, gram, stats
 from pulseframe.session import materialize, spread
 
 DIGITS = 12  # bits looked at per round of the split search
@@ -152,6 +155,7 @@ def classifier(kind: str, rows: int, label: str = "label", **params):
     raise ValueError(f"unknown model type {kind}")
 
 
+# The settings that the searches try.
 CLASSIFIER_GRIDS = {
     "random_forest": {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4]},
     "gradient_boosting": {"maxIter": [100, 200], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 5, 7],
@@ -244,51 +248,149 @@ def score_batch(model: PipelineModel, df: DataFrame, features: Sequence[str], ke
 
 # -- search and validation ----------------------------------------------------
 
+#: Penalty of a linear model per unit of its parameter: mix of absolute values, and whether it is a total over the rows.
+LINEAR_MIX = {"ridge": 0.0, "lasso": 1.0, "elastic_net": 0.5, "linear_regression": 0.0}
+
+
+@dataclass
+class SearchResult:
+    """Settings tried, with mean and deviation of their scores over the folds."""
+
+    settings: list[dict]
+    mean: list[float]
+    std: list[float]
+
+    def best(self) -> int:
+        return max(range(len(self.mean)), key=lambda i: self.mean[i])
+
+
+def _scaled(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str]) -> tuple[DataFrame, list[str], int]:
+    """Label and kept columns with the features as scaled doubles ``z0``…, their names and the row count."""
+    rows, stages, n = packed(df, features, label, keep)
+    kept = ["label", *[k for k in keep if k not in features]]
+    z = [f"z{i}" for i in range(len(features))]
+    return stages[0].transform(rows).select(*kept, *[k for k in keep if k in features], *[F.col(f"`{c}__z`").alias(a) for c, a in zip(features, z)]), z, n
+
+
+def _penalty(kind: str, n: float, alpha: float | None = None, l1_ratio: float | None = None, **_) -> tuple[float, float]:
+    """(strength per row, mix) of a linear model, as ``regressor`` reads its parameters."""
+    alpha = (0.0 if kind == "linear_regression" else 1.0) if alpha is None else alpha
+    return (alpha / max(n, 1.0) if kind == "ridge" else alpha), (LINEAR_MIX[kind] if l1_ratio is None else l1_ratio)
+
+
+def _sum(parts: Sequence[gram.Moments]) -> gram.Moments:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out + p
+    return out
+
+
+def _line(model: gram.Linear, z: Sequence[str]) -> Column:
+    out = F.lit(model.bias)
+    for w, c in zip(model.weights.tolist(), z):
+        out = out + F.lit(w) * F.col(c)
+    return out
+
+
+def _by_fold(models: Mapping[int, gram.Linear], z: Sequence[str]) -> Column:
+    """The value of each row's fold's model."""
+    out = F.lit(None).cast("double")
+    for f, m in models.items():
+        out = F.when(F.col("fold") == f, _line(m, z)).otherwise(out)
+    return out
+
+
 def search(df: DataFrame, features: Sequence[str], label: str, kind: str, keys: Sequence[str],
            task: str = "classification", grid: Mapping[str, Sequence] | None = None, k: int = 5,
-           n_iter: int | None = None, parallelism: int = 4, metric: str | None = None,
-           **params) -> CrossValidatorModel:
+           n_iter: int | None = None, metric: str | None = None, **params) -> SearchResult:
     """Grid search, or a seeded draw of ``n_iter`` settings, over hash folds.
 
-    The vector table is written once to the shared folder: every fold and
-    setting reads it instead of computing the features again.
+    Linear models are solved for all folds and settings from one scan's sums, and logistic ones share every
+    round's scan. The other families are fitted one by one from a vector table that is written once: a
+    fit keeps the cluster busy, and fits side by side share plans that are not made for it.
     """
-    rows, stages, n = packed(df, features, label, keys)
-    ready = Pipeline(stages=stages).fit(rows).transform(with_folds(rows, keys, k))
-    ready = spread(materialize(ready.select("label", "features", "fold"), "folds"))
-    make, grids = (regressor, REGRESSOR_GRIDS) if task == "regression" else (classifier, CLASSIFIER_GRIDS)
+    grids = REGRESSOR_GRIDS if task == "regression" else CLASSIFIER_GRIDS
+    make = regressor if task == "regression" else classifier
+    rows, z, n = _scaled(df, features, label, keys)
     estimator = make(kind, n, **params)
     scale = float(n) if kind in PER_ROW_PENALTY else 1.0
     maps = param_maps(estimator, grids[kind] if grid is None else grid, scale)
     if n_iter is not None:
         maps = sampled(maps, n_iter)
-    return CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=_evaluator(task, "label", metric),
-                          numFolds=k, foldCol="fold", parallelism=parallelism).fit(ready)
-
-
-def search_table(model: CrossValidatorModel, spark) -> DataFrame:
+    settings = [{p.name: v for p, v in m.items()} for m in maps]
+    ready = with_folds(rows, keys, k).select("label", "fold", *z)
+    closed = {"maxIter", "regParam", "elasticNetParam"}
+    plain = not params and metric is None and all(set(s) <= closed for s in settings)
+    if plain and task == "regression" and kind in LINEAR_MIX:
+        scores = _linear_scores(ready, z, k, kind, n, settings)
+    elif plain and kind == "logistic_regression":
+        scores = _logistic_scores(ready, z, k, n, settings)
+    else:
+        ready = spread(materialize(VectorAssembler(inputCols=z, outputCol="features").transform(ready).select("label", "features", "fold"), "folds"))
+        found = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=_evaluator(task, "label", metric),
+                               numFolds=k, foldCol="fold", parallelism=1).fit(ready)
+        return SearchResult(settings, list(found.avgMetrics), list(found.stdMetrics))
+    return SearchResult(settings, [float(np.mean(s)) for s in scores], [float(np.std(s)) for s in scores])
+
+
+def _linear_scores(ready: DataFrame, z: Sequence[str], k: int, kind: str, n: int, settings: Sequence[Mapping]) -> list[list[float]]:
+    """r2 of every setting on every fold, from the moments of the folds."""
+    sums = gram.moments(ready, [*z, "label"], F.col("fold"))
+    folds = [f for f in range(k) if f in sums]
+    strength, mix = _penalty(kind, n)
+    out = []
+    for s in settings:
+        models = {f: gram.linear(_sum([sums[g] for g in folds if g != f]), s.get("regParam", strength), s.get("elasticNetParam", mix)) for f in folds}
+        out.append([sums[f].r2(models[f]) or 0.0 for f in folds])
+    return out
+
+
+def _logistic_scores(ready: DataFrame, z: Sequence[str], k: int, n: int, settings: Sequence[Mapping]) -> list[list[float]]:
+    """Areas under the ROC curve of every setting on every fold; the fits share their scans."""
+    ready = spread(materialize(ready, "folds"))
+    folds = sorted(r["fold"] for r in ready.select("fold").distinct().collect())  # k of them
+    tasks = [gram.Task(f, s.get("regParam", 1.0 / max(n, 1)), s.get("elasticNetParam", 0.0)) for s in settings for f in folds]
+    models = gram.logistic(ready, z, "label", "fold", tasks)
+    named = {f"s{i}": {f: models[i * len(folds) + j] for j, f in enumerate(folds)} for i in range(len(settings))}
+    scored = ready.select("label", "fold", *[_by_fold(m, z).alias(c) for c, m in named.items()])
+    long = scored.unpivot(["label", "fold"], list(named), "setting", "score")
+    areas = {(r["setting"], r["fold"]): r["roc_auc"] for r in evaluation.roc_auc(long, "label", "score", ["setting", "fold"]).collect()}
+    return [[areas.get((c, f)) or 0.0 for f in folds] for c in named]
+
+
+def search_table(found: SearchResult, spark) -> DataFrame:
     """One row per setting tried: values, mean and deviation of the folds."""
-    rows = []
-    for setting, mean, sd in zip(model.getEstimatorParamMaps(), model.avgMetrics, model.stdMetrics):
-        text = ", ".join(f"{p.name}={v}" for p, v in sorted(setting.items(), key=lambda x: x[0].name))
-        rows.append((text, float(mean), float(sd)))
+    rows = [(", ".join(f"{p}={v}" for p, v in sorted(s.items())), float(m), float(d)) for s, m, d in zip(found.settings, found.mean, found.std)]
     return spark.createDataFrame(rows, "setting string, mean_score double, std_score double")
 
 
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, kind: str, keys: Sequence[str],
                    k: int = 5, **params) -> DataFrame:
-    """r2, negated mse and negated mae of a regression, per held-out fold."""
-    rows, stages, n = packed(df, features, label, keys)
-    ready = Pipeline(stages=stages).fit(rows).transform(with_folds(rows, keys, k))
-    ready = materialize(ready.select("label", "features", "fold"), "folds")
-    parts = []
-    for i in range(k):
-        train = ready.where(F.col("fold") != i)
-        model = regressor(kind, train.count(), **dict(params)).fit(train)
-        parts.append(model.transform(ready.where(F.col("fold") == i)).select("fold", "label", "prediction"))
-    held = parts[0]
-    for p in parts[1:]:
-        held = held.unionByName(p)
+    """r2, negated mse and negated mae of a regression, per held-out fold.
+
+    Linear models come from one scan's sums per fold; a second one takes their errors.
+    """
+    if kind in LINEAR_MIX:
+        rows, z, _ = _scaled(df, features, label, keys)
+        ready = with_folds(rows, keys, k).select("label", "fold", *z)
+        sums = gram.moments(ready, [*z, "label"], F.col("fold"))
+        models = {}
+        for f in sums:
+            train = [m for g, m in sums.items() if g != f]
+            if train:
+                train = _sum(train)
+                models[f] = gram.linear(train, *_penalty(kind, train.n, **params))
+        held = ready.select("fold", "label", _by_fold(models, z).alias("prediction"))
+    else:
+        rows, stages, n = packed(df, features, label, keys)
+        ready = Pipeline(stages=stages).fit(rows).transform(with_folds(rows, keys, k))
+        ready = spread(materialize(ready.select("label", "features", "fold"), "folds"))
+        held = None
+        for i in range(k):
+            train = ready.where(F.col("fold") != i)
+            part = regressor(kind, train.count(), **dict(params)).fit(train).transform(ready.where(F.col("fold") == i))
+            part = part.select("fold", "label", "prediction")
+            held = part if held is None else held.unionByName(part)
     e = F.col("label") - F.col("prediction")
     return held.groupBy("fold").agg(
         F.count(F.lit(1)).alias("rows"),
@@ -305,52 +407,78 @@ def fold_summary(folds: DataFrame) -> DataFrame:
 
 def learning_curve(df: DataFrame, features: Sequence[str], label: str, kind: str, keys: Sequence[str],
                    sizes: int = 10, k: int = 5, **params) -> DataFrame:
-    """r2 on training rows and on held-out folds for nested training shares 0.1…1."""
-    rows, stages, n = packed(df, features, label, keys)
-    hashed = with_folds(rows, keys, k).withColumn(
-        "slot", tx.hash_bucket([*[F.col(c) for c in keys], F.lit("curve")], 10_000))
-    ready = Pipeline(stages=stages).fit(rows).transform(hashed)
-    ready = materialize(ready.select("label", "features", "fold", "slot"), "curve")
-    results = None
-    for i in range(k):
-        held = ready.where(F.col("fold") == i)
-        for s in range(1, sizes + 1):
-            share = (0.1 + 0.9 * (s - 1) / (sizes - 1)) if sizes > 1 else 1.0
-            train = ready.where((F.col("fold") != i) & (F.col("slot") < int(round(share * 10_000))))
-            n = train.count()
-            model = regressor(kind, n, **dict(params)).fit(train)
-            both = model.transform(train).withColumn("side", F.lit("train")).unionByName(
-                model.transform(held).withColumn("side", F.lit("validation")))
-            e = F.col("label") - F.col("prediction")
-            r2 = (1 - F.sum(e * e) / F.nullif(F.var_pop("label") * F.count(F.lit(1)), F.lit(0.0))).alias("r2")
-            one = both.groupBy("side").agg(r2).select(
-                F.lit(round(share, 4)).alias("share"), F.lit(n).alias("rows"), "side", "r2")
-            results = one if results is None else results.unionByName(one)
+    """r2 on training rows and on held-out folds for nested training shares 0.1…1.
+
+    Linear models come from one scan: the sums of every fold and step of the shares add up to any training set.
+    """
+    shares = [(0.1 + 0.9 * s / (sizes - 1)) if sizes > 1 else 1.0 for s in range(sizes)]
+    marks = [int(round(s * 10_000)) for s in shares]
+    slot = tx.hash_bucket([*[F.col(c) for c in keys], F.lit("curve")], 10_000)
+    spark, found = df.sparkSession, []
+    if kind in LINEAR_MIX:
+        rows, z, _ = _scaled(df, features, label, keys)
+        step = sum((slot >= m).cast("int") for m in marks) if marks else F.lit(0)  # from len(marks) on in no share
+        ready = with_folds(rows, keys, k).withColumn("step", step)
+        sums = gram.moments(ready, [*z, "label"], F.col("fold") * (sizes + 1) + F.col("step"))
+        for i in range(k):
+            held = [m for g, m in sums.items() if g // (sizes + 1) == i]
+            for s, share in enumerate(shares):
+                train = [m for g, m in sums.items() if g // (sizes + 1) != i and g % (sizes + 1) <= s]
+                if held and train:
+                    whole = _sum(train)
+                    model = gram.linear(whole, *_penalty(kind, whole.n, **params))
+                    found += [(round(share, 4), int(whole.n), "train", whole.r2(model)),
+                              (round(share, 4), int(whole.n), "validation", _sum(held).r2(model))]
+    else:
+        rows, stages, _ = packed(df, features, label, keys)
+        ready = Pipeline(stages=stages).fit(rows).transform(with_folds(rows, keys, k).withColumn("slot", slot))
+        ready = spread(materialize(ready.select("label", "features", "fold", "slot"), "curve"))
+        e = F.col("label") - F.col("prediction")
+        r2 = (1 - F.sum(e * e) / F.nullif(F.var_pop("label") * F.count(F.lit(1)), F.lit(0.0))).alias("r2")
+        for i in range(k):
+            held = ready.where(F.col("fold") == i)
+            for share, mark in zip(shares, marks):
+                train = ready.where((F.col("fold") != i) & (F.col("slot") < mark))
+                n = train.count()
+                model = regressor(kind, n, **dict(params)).fit(train)
+                found += [(round(share, 4), n, side, model.transform(part).agg(r2).first()["r2"]) for side, part in (("train", train), ("validation", held))]
+    results = spark.createDataFrame(found, "share double, rows long, side string, r2 double")
     return results.groupBy("share", "side").agg(
         F.avg("rows").alias("mean_rows"), F.avg("r2").alias("score_mean"), F.stddev_pop("r2").alias("score_std"))
 
 
 def bootstrap_stability(df: DataFrame, features: Sequence[str], label: str, kind: str, refits: int = 10,
-                        seed: int = 42, **params) -> DataFrame:
+                        seed: int = 42, keys: Sequence[str] | None = None, **params) -> DataFrame:
     """Spread of the predictions of models refitted on resampled rows.
 
-    All models score the same row side by side, so the per-row deviation is
-    column arithmetic and nothing is shuffled by row.
+    A draw weighs every row by a Poisson number hashed from its key (without ``keys``, from its values), so the
+    result is the same for any partitions. Linear models of all draws come from one scan. All models score
+    the same row side by side, so the per-row deviation is column arithmetic and nothing is shuffled by row.
     """
-    rows, stages, _ = packed(df, features, label)
-    ready = Pipeline(stages=stages).fit(rows).transform(rows).select("label", "features")
-    ready = materialize(ready, "bootstrap")
-    out = ready
-    for i in range(refits):
-        drawn = ready.sample(True, 1.0, seed + i)
-        model = regressor(kind, drawn.count(), **dict(params), predictionCol=f"p{i}").fit(drawn)
-        out = model.transform(out)
-    values = F.array(*[F.col(f"p{i}") for i in range(refits)])
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.lit(float(refits))
-    per_row = out.select(values.alias("v"), mean.alias("m")).select(
+    if kind in LINEAR_MIX:
+        ready, z, _ = _scaled(df, features, label, keys or ())
+        key = F.xxhash64(*[F.col(c) for c in keys]) if keys else F.xxhash64("label", *z)
+        sums = gram.drawn_moments(ready, [*z, "label"], key, refits, seed)
+        models = [gram.linear(m, *_penalty(kind, m.n, **params)) for _, m in sorted(sums.items())]
+        values = F.array(*[_line(m, z) for m in models])
+        out = ready
+    else:
+        rows, stages, _ = packed(df, features, label, keys or ())
+        key = F.xxhash64(*[F.col(c) for c in keys or ("label", *features)])
+        unit = lambda i: F.shiftrightunsigned(F.xxhash64(key, F.lit(seed + i)), 11) * F.lit(2.0 ** -53)
+        weights = {f"w{i}": sum((unit(i) >= F.lit(float(p))).cast("double") for p in gram.POISSON) for i in range(refits)}
+        ready = Pipeline(stages=stages).fit(rows).transform(rows.withColumns({"key": key, **weights}))
+        out = ready = spread(materialize(ready.select("label", "features", "key", *weights), "bootstrap"), by=["key"])
+        for i in range(refits):
+            drawn = ready.where(F.col(f"w{i}") > 0)
+            model = regressor(kind, drawn.count(), **dict(params), predictionCol=f"p{i}", weightCol=f"w{i}").fit(drawn)
+            out = model.transform(out)
+        values = F.array(*[F.col(f"p{i}") for i in range(refits)])
+    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.lit(float(refits))
+    per_row = out.select(values.alias("v")).withColumn("m", mean).select(
         "m", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x - F.col("m")) * (x - F.col("m")))
                     / F.lit(float(refits))).alias("sd"))
-    per_row = per_row.withColumn("cv", F.col("sd") / (F.col("m") + F.lit(1e-8)))
+    per_row = materialize(per_row.withColumn("cv", F.col("sd") / (F.col("m") + F.lit(1e-8))), "spread")
     median = stats.quantiles(per_row, {"sd": [0.5]})["sd"][0]
     return per_row.agg(
         F.avg("sd").alias("mean_prediction_std"), F.max(F.lit(median)).alias("median_prediction_std"),

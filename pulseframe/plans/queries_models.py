@@ -260,7 +260,7 @@ def _(t: Tables):
 
 @query("m8_bootstrap_stability")
 def _(t: Tables):
-    return rounded(training.bootstrap_stability(t.survey, SURVEY_FEATURES[:6], "HeartDisease", "ridge", 10))
+    return rounded(training.bootstrap_stability(t.survey, SURVEY_FEATURES[:6], "HeartDisease", "ridge", 10, keys=["sid"]))
 
 
 @query("m9_prepare_features", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,12 +60,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, rows_per_part: int = 100_000) -> DataFrame:
+def spread(df: DataFrame, rows_per_part: int = 100_000, by: Sequence[str] | None = None) -> DataFrame:
     """Rows dealt by their hash into a number of partitions that only their count decides, sorted in each.
 
     Iterative fits draw samples by partition and position, so the same table gives
-    the same model on any cluster and from any layout of files.
+    the same model on any cluster and from any layout of files. With ``by`` only those columns are
+    hashed: computed numbers can differ in their last digit from layout to layout.
     """
     parts = max(8, -(-df.count() // rows_per_part))
-    mark = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    mark = F.xxhash64(*[F.col(f"`{c}`") for c in by or df.columns])
     return df.repartition(parts, mark).sortWithinPartitions(mark)

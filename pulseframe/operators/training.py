@@ -119,16 +119,23 @@ def feature_stages(df: DataFrame, features: Sequence[str], out: str = "features"
 
 # -- registries ---------------------------------------------------------------
 
-def regressor(kind: str, rows: int, label: str = "label", **params):
+#: Share of absolute values in the penalty of the linear families.
+LINEAR_MIX = {"ridge": 0.0, "lasso": 1.0, "elastic_net": 0.5, "linear_regression": 0.0}
+
+
+def regressor(kind: str, rows: int, label: str = "label", label_std: float = 1.0, **params):
     """Estimator by family. The ridge penalty is divided by the row count and
-    columns are not rescaled again, so ``alpha`` keeps its usual meaning."""
+    columns are not rescaled again, so ``alpha`` keeps its usual meaning.
+
+    Spark divides the squared part of a penalty by the label's deviation; ``label_std`` (of the population) makes up for it.
+    """
     common = {"featuresCol": "features", "labelCol": label}
-    linear = {"ridge": 0.0, "lasso": 1.0, "elastic_net": 0.5, "linear_regression": 0.0}
-    if kind in linear:
+    if kind in LINEAR_MIX:
         alpha = params.pop("alpha", 0.0 if kind == "linear_regression" else 1.0)
-        mix = params.pop("l1_ratio", linear[kind])
+        mix = params.pop("l1_ratio", LINEAR_MIX[kind])
         strength = alpha / max(rows, 1) if kind == "ridge" else alpha
-        return LinearRegression(regParam=strength, elasticNetParam=mix, standardization=False,
+        one, two = strength * mix, strength * (1 - mix) * (label_std or 1.0)
+        return LinearRegression(regParam=one + two, elasticNetParam=one / (one + two) if one + two else 0.0, standardization=False,
                                 **common, **params)
     if kind == "random_forest":
         return RandomForestRegressor(**{"numTrees": 100, "seed": 42, **common, **params})
@@ -205,6 +212,8 @@ def packed(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[st
 def fit(df: DataFrame, features: Sequence[str], label: str, kind: str, task: str = "regression",
         **params) -> PipelineModel:
     rows, stages, n = packed(df, features, label)
+    if task == "regression" and kind in LINEAR_MIX:
+        params["label_std"] = rows.agg(F.stddev_pop("label")).first()[0] or 1.0
     make = regressor if task == "regression" else classifier
     estimator = make(kind, n, **params)
     # The linear solver reads the rows once; the others come back many times.
@@ -248,10 +257,6 @@ def score_batch(model: PipelineModel, df: DataFrame, features: Sequence[str], ke
 
 # -- search and validation ----------------------------------------------------
 
-#: Penalty of a linear model per unit of its parameter: mix of absolute values, and whether it is a total over the rows.
-LINEAR_MIX = {"ridge": 0.0, "lasso": 1.0, "elastic_net": 0.5, "linear_regression": 0.0}
-
-
 @dataclass
 class SearchResult:
     """Settings tried, with mean and deviation of their scores over the folds."""

@@ -78,7 +78,27 @@ def _(t: Tables):
     return rounded(scaling.robust_scale(t.lineitem.select(*_LI, "l_extendedprice"), ["l_extendedprice"]))
 
 
-@query("x8_quantile_normal")
+def _poly(coefficients, x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+_MARKS = ", ".join(repr(i / 999) for i in range(1000))
+_OUTER = (f"CASE WHEN s <= 5 THEN {_poly(scaling._MIDDLE[0], '(s - 1.6::DOUBLE)')} / {_poly(scaling._MIDDLE[1], '(s - 1.6::DOUBLE)')} "
+          f"ELSE {_poly(scaling._TAIL[0], '(s - 5.0::DOUBLE)')} / {_poly(scaling._TAIL[1], '(s - 5.0::DOUBLE)')} END")
+
+
+@query("x8_quantile_normal", f"""
+WITH u AS (SELECT UNNEST(e) AS e, UNNEST(RANGE(1000)) AS k FROM (SELECT quantile_cont(l_extendedprice, [{_MARKS}]) AS e FROM lineitem)),
+d AS (SELECT e, MIN(k) / 999.0::DOUBLE AS f, MAX(k) / 999.0::DOUBLE AS l FROM u GROUP BY e),
+n AS (SELECT e, f, l, LEAD(e) OVER (ORDER BY e) AS e1, LEAD(f) OVER (ORDER BY e) AS f1, MIN(e) OVER () AS a, MAX(e) OVER () AS z FROM d),
+r AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN x <= a THEN 1e-300::DOUBLE WHEN x >= z THEN 1 - 1e-16::DOUBLE WHEN x = e THEN (f + l) / 2 ELSE l + (x - e) * (f1 - l) / (e1 - e) END AS p
+  FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem) ASOF JOIN n ON x >= e),
+s AS (SELECT *, SQRT(-LN(LEAST(p, 1 - p))) AS s, 0.180625::DOUBLE - (p - 0.5) * (p - 0.5) AS t FROM r)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, ROUND(LEAST(5.199337582290661::DOUBLE, GREATEST(-5.199337582290661::DOUBLE, CASE WHEN ABS(p - 0.5) <= 0.425 THEN (p - 0.5) * {_poly(scaling._CENTRAL[0], 't')} / {_poly(scaling._CENTRAL[1], 't')}
+  ELSE SIGN(p - 0.5) * ({_OUTER}) END)), 6) AS l_extendedprice FROM s""")
 def _(t: Tables):
     return rounded(scaling.quantile_normal(t.lineitem.select(*_LI, "l_extendedprice"), ["l_extendedprice"]))
 
@@ -126,6 +146,25 @@ def _(t: Tables):
     return rounded(selection.mutual_information(t.survey, ("Age", "BMI", "MentHlth"), "HeartDisease", target_bins=None))
 
 
+_PSI = "(LN({0} + 10) - 0.5::DOUBLE / ({0} + 10) - 1 / (12::DOUBLE * POW({0} + 10, 2)) + 1 / (120::DOUBLE * POW({0} + 10, 4)) - 1 / (252::DOUBLE * POW({0} + 10, 6)) - " + \
+    " - ".join(f"1::DOUBLE / ({{0}} + {j})" for j in range(10)) + ")"
+
+
+def _near(c: str) -> str:
+    side = lambda f, j: f"{{'d': ABS({f}(x, {j}) OVER w - x), 'n': {f}(n, {j}) OVER w}}"
+    sides = ", ".join(side(f, j) for f in ("LAG", "LEAD") for j in (1, 2, 3))
+    return f"""SELECT '{c}' AS feature, ROUND(GREATEST(0, {_PSI.format('SUM(n)')} + SUM(n * ({_PSI.format('3')} - {_PSI.format('c')} - {_PSI.format('m')})) / SUM(n)), 6) AS score FROM (
+  SELECT g.n, g.c, (SELECT SUM(o.n) FROM (SELECT {c}::DOUBLE AS x, COUNT(*) AS n FROM survey GROUP BY 1) o WHERE CASE WHEN g.r = 0 THEN o.x = g.x ELSE o.x > g.x - g.r AND o.x < g.x + g.r END) AS m FROM (
+  SELECT x, n, c, LIST_MIN(LIST_TRANSFORM(LIST_FILTER(s, lambda v: LIST_SUM(LIST_TRANSFORM(LIST_FILTER(s, lambda u: u.d <= v.d), lambda u: u.n)) >= 3), lambda v: v.d)) AS r FROM (
+  SELECT x, n, SUM(n) OVER (PARTITION BY y) AS c, LIST_FILTER([{{'d': 0::DOUBLE, 'n': n - 1}}, {sides}], lambda v: v.n IS NOT NULL) AS s
+  FROM (SELECT {c}::DOUBLE AS x, HeartDisease AS y, COUNT(*) AS n FROM survey GROUP BY 1, 2) WINDOW w AS (PARTITION BY y ORDER BY x))) g)"""
+
+
+@query("x11_mutual_information_neighbours", " UNION ALL ".join(map(_near, ("Age", "BMI", "MentHlth"))), ["survey"])
+def _(t: Tables):
+    return rounded(selection.mutual_information_neighbours(t.survey, ("Age", "BMI", "MentHlth"), "HeartDisease"))
+
+
 @query("x12_recursive_elimination")
 def _(t: Tables):
     kept = selection.recursive_elimination(t.survey, SURVEY_FEATURES[:6], "HeartDisease", 4)
@@ -253,6 +292,39 @@ def _(t: Tables):
     return rounded(training.fold_summary(training.cross_validate(t.survey, SURVEY_FEATURES[:6], "HeartDisease", "ridge", ["sid"])))
 
 
+_PAIR = f"""
+WITH z AS (SELECT sid, BMI AS y, {_H60.format(k='sid')} % 5 AS fold, {_H60.format(k="sid || '|curve'")} % 10000 AS slot, (Age - AVG(Age) OVER ()) / STDDEV_POP(Age) OVER () AS u,
+  (PhysHlth - AVG(PhysHlth) OVER ()) / STDDEV_POP(PhysHlth) OVER () AS v FROM survey),
+t AS (SELECT UNNEST(RANGE(5)) AS f), h AS (SELECT UNNEST({{shares}}) AS share),
+a AS (SELECT f, share, COUNT(*) AS n, AVG(u) AS mu, AVG(v) AS mv, AVG(y) AS my, VAR_POP(u) * COUNT(*) + 1 AS uu, VAR_POP(v) * COUNT(*) + 1 AS vv, COVAR_POP(u, v) * COUNT(*) AS uv,
+  COVAR_POP(u, y) * COUNT(*) AS uy, COVAR_POP(v, y) * COUNT(*) AS vy FROM t, h JOIN z ON fold <> f AND slot < ROUND(share * 10000) GROUP BY f, share),
+b AS (SELECT *, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS p, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS q FROM a)"""
+
+
+@query("m6_cross_validate_pair", _PAIR.format(shares="[1.0::DOUBLE]") + """,
+s AS (SELECT f, 1 - SUM(POW(e, 2)) / (VAR_POP(y) * COUNT(*)) AS r2, -AVG(e * e) AS neg_mse, -AVG(ABS(e)) AS neg_mae FROM (
+  SELECT f, y, y - (my + p * (u - mu) + q * (v - mv)) AS e FROM b JOIN z ON fold = f) GROUP BY f)
+SELECT metric, ROUND(AVG(x), 6) AS mean, ROUND(STDDEV_POP(x), 6) AS std, ROUND(MIN(x), 6) AS min, ROUND(MAX(x), 6) AS max
+FROM (UNPIVOT s ON r2, neg_mse, neg_mae INTO NAME metric VALUE x) GROUP BY metric""", ["survey"])
+def _(t: Tables):
+    return rounded(training.fold_summary(training.cross_validate(t.survey, ["Age", "PhysHlth"], "BMI", "ridge", ["sid"])))
+
+
+@query("m7_learning_curve_pair", _PAIR.format(shares="[0.1::DOUBLE, 0.4, 0.7, 1.0]") + """,
+s AS (SELECT f, share, n, side, 1 - SUM(POW(y - (my + p * (u - mu) + q * (v - mv)), 2)) / (VAR_POP(y) * COUNT(*)) AS r2 FROM (
+  SELECT b.*, y, u, v, CASE WHEN fold = f THEN 'validation' ELSE 'train' END AS side FROM b JOIN z ON fold = f OR slot < ROUND(share * 10000)) GROUP BY f, share, n, side)
+SELECT ROUND(share, 6) AS share, side, ROUND(AVG(n), 6) AS mean_rows, ROUND(AVG(r2), 6) AS score_mean, ROUND(STDDEV_POP(r2), 6) AS score_std FROM s GROUP BY share, side""", ["survey"])
+def _(t: Tables):
+    return rounded(training.learning_curve(t.survey, ["Age", "PhysHlth"], "BMI", "ridge", ["sid"], sizes=4))
+
+
+@query("m1_ridge_pair", _PAIR.format(shares="[1.0::DOUBLE]").replace("fold <> f AND ", "").replace("RANGE(5)", "RANGE(1)") + """
+SELECT sid, ROUND(my + p * (u - mu) + q * (v - mv), 4) AS prediction FROM z, b""", ["survey"])
+def _(t: Tables):
+    model = training.fit(t.survey, ["Age", "PhysHlth"], "BMI", "ridge")
+    return rounded(training.predict(model, t.survey, ["Age", "PhysHlth"], ["sid"]), 4)
+
+
 @query("m7_learning_curve")
 def _(t: Tables):
     return rounded(training.learning_curve(t.survey, SURVEY_FEATURES[:4], "HeartDisease", "ridge", ["sid"]))
@@ -519,6 +591,12 @@ d AS (SELECT MAX(ABS(fa - fb)) AS d, (SELECT SUM(a)::BIGINT FROM c) AS n1, (SELE
 p AS (SELECT *, LEAST(1, GREATEST(0, 2 * (SELECT SUM(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * EXP(-2.0::DOUBLE * k * k * d * d * n1 * n2 / (n1 + n2))) FROM RANGE(1, 101) q(k)))) AS pv FROM d)
 SELECT n1 AS reference_count, n2 AS current_count, ROUND(d, 6) AS ks_statistic, ROUND(pv, 6) AS p_value, pv < 0.05 AS significant FROM p""", ["predictions"])
 def _(t: Tables):
+    return rounded(monitoring.drift_ks(t.predictions, _cutoff(), exact_rows=0))
+
+
+@query("m27_drift_ks_exact")
+def _(t: Tables):
+    """Exact while both sides are small enough; no SQL twin, the tests enumerate orders."""
     return rounded(monitoring.drift_ks(t.predictions, _cutoff()))
 
 

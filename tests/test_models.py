@@ -57,6 +57,17 @@ def test_cross_validation_equals_fits_over_the_rows(frame, table):
         assert (got[f]["r2"], got[f]["neg_mse"], got[f]["neg_mae"]) == pytest.approx((r2(y[fold == f], p), -(e ** 2).mean(), -np.abs(e).mean()), rel=1e-9)
 
 
+@pytest.mark.parametrize("kind,params", [("ridge", {"alpha": 40.0}), ("lasso", {"alpha": 0.2}), ("elastic_net", {"alpha": 0.3, "l1_ratio": 0.4})])
+def test_fits_have_the_usual_penalty(frame, table, kind, params):
+    x, y = scaled(table), table[:, 5] * 7
+    model = training.fit(frame.withColumn("y", F.col("y") * 7), NAMES, "y", kind, **params).stages[-1]
+    w = model.coefficients.toArray()
+    strength, mix = training._penalty(kind, len(y), **params)
+    slope = x.T @ (y - x @ w - model.intercept) / len(y) - strength * (1 - mix) * w
+    for s, v in zip(slope, w):
+        assert abs(s) <= strength * mix + 1e-4 if abs(v) < 1e-9 else s == pytest.approx(math.copysign(strength * mix, v), abs=1e-4)
+
+
 def test_learning_curve_equals_fits_over_the_rows(frame, table):
     x, y, (fold, slot) = scaled(table), table[:, 5], folds_of(frame)
     got = {(r["share"], r["side"]): r for r in training.learning_curve(frame, NAMES, "y", "ridge", ["id"], sizes=4).collect()}
@@ -179,3 +190,60 @@ def test_dropping_features_gives_the_forest_without_them(binned):
 def test_forest_of_an_empty_table(spark):
     df = spark.createDataFrame([], "f0 double, f1 double, y double")
     assert forest.importances(forest.binned(df, ["f0", "f1"], "y"), ["f0", "f1"], 2, 2) == {"f0": 0.0, "f1": 0.0}
+
+
+# -- other estimates ----------------------------------------------------------------
+
+def test_exact_drift_test_equals_enumerated_orders():
+    from itertools import combinations
+
+    from pulseframe.operators import monitoring
+    for n1, n2 in ((3, 4), (5, 5), (2, 7)):
+        gaps = []
+        for chosen in combinations(range(n1 + n2), n1):
+            a = b = top = 0
+            for k in range(n1 + n2):
+                a, b = (a + 1, b) if k in chosen else (a, b + 1)
+                top = max(top, abs(a * n2 - b * n1))
+            gaps.append(top)
+        for h in sorted(set(gaps)):
+            assert monitoring.ks_exact(h, n1, n2) == pytest.approx(sum(g >= h for g in gaps) / len(gaps), rel=1e-12)
+    n = 4_000
+    assert monitoring.ks_exact(150 * n, n, n) == pytest.approx(monitoring.ks_p_value(150 / n, n, n), rel=0.05)
+
+
+def test_neighbour_information_equals_brute_force(spark):
+    from pulseframe.operators import selection
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 3, 260)
+    x = np.column_stack([rng.normal(size=260) + y, rng.integers(0, 6, 260), rng.normal(size=260), np.full(260, 2.0)])
+    y = np.append(y, 9)
+    x = np.vstack([x, [0.1, 0.2, 0.3, 2.0]])  # a class of one row
+
+    def psi(n):
+        return -0.5772156649015329 + sum(1 / k for k in range(1, int(n)))
+
+    def brute(v):
+        keep = np.isin(y, [c for c in set(y) if (y == c).sum() > 1])
+        u, c = v[keep], y[keep]
+        terms = []
+        for i in range(len(u)):
+            d = np.sort(np.abs(np.delete(u[c == c[i]], np.flatnonzero(np.flatnonzero(c == c[i]) == i)) - u[i]))
+            k = min(3, len(d))
+            r = d[k - 1]
+            m = (u == u[i]).sum() if r == 0 else ((u > u[i] - r) & (u < u[i] + r)).sum()
+            terms.append(psi(k) - psi((c == c[i]).sum()) - psi(m))
+        return max(0.0, psi(len(u)) + np.mean(terms))
+
+    df = spark.createDataFrame([(*map(float, r), int(c)) for r, c in zip(x, y)], "a double, b double, c double, d double, y int").repartition(4)
+    got = {r["feature"]: r["score"] for r in selection.mutual_information_neighbours(df, ["a", "b", "c", "d"], "y").collect()}
+    assert got == pytest.approx({n: brute(x[:, k]) for k, n in enumerate("abcd")}, abs=1e-9) and got["a"] > 0.2
+
+
+def test_normal_scores_on_odd_values(spark):
+    from pulseframe.operators import scaling
+    rows = [None, float("nan"), *[1.0] * 40, *map(float, range(2, 60))]
+    df = spark.createDataFrame([(v, 5.0, None) for v in rows], "x double, flat double, none double")
+    got = [r["x"] for r in scaling.quantile_normal(df).orderBy("x").collect()]
+    assert got[0] is None and math.isnan(got[-1]) and got[1] == got[40] == pytest.approx(-5.199337582) and got[-2] == pytest.approx(5.199337582)
+    assert got[1:-1] == sorted(got[1:-1])

@@ -38,6 +38,29 @@ def drop_columns(df: DataFrame, names: set[str]) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in low])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with marks put behind until no column of ``df`` has it (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def set_aside(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others as one column ``_rest``, so that no name of theirs can clash."""
+    read = {n.lower() for n in needed}
+    rest = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns) if c.lower() not in read]
+    return docs.select(*[docs[n].alias(n) for n in needed], (F.struct(*rest) if rest else F.lit(0)).alias("_rest"))
+
+
+def put_back(result: DataFrame, docs: DataFrame, *needed: str, added: tuple[str, ...] = (), dropped: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``docs`` in their order, without the dropped ones, and the added ones, for rows of ``set_aside``."""
+    read = {n.lower(): n for n in needed}
+    out = [F.col(read[c.lower()]).alias(c) if c.lower() in read else F.col(f"_rest.c{i}").alias(c)
+           for i, c in enumerate(docs.columns) if c.lower() not in dropped]
+    return result.select(*out, *added)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as bytes) of runs of rows with about ``limit`` bytes; null is empty.
 

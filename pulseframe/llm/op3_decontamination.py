@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pulseframe.llm.common import byte_table, cut_words, drop_columns, materialize, parts_for, slices
+from pulseframe.llm.common import byte_table, cut_words, drop_columns, materialize, parts_for, put_back, set_aside, slices
 
 WINDOW = 13
 #: Text of test items that one pass holds in every task.
@@ -203,8 +203,8 @@ def verdict(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.05, **option
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated ones, in their own columns."""
-    names = docs.columns
-    return verdict(docs, benchmark, **options).where("NOT _contaminated").select(*[F.col(f"`{c}`") for c in names])
+    found = verdict(set_aside(docs, "doc_id", "text"), benchmark, **options)
+    return put_back(found.where("NOT _contaminated"), docs, "doc_id", "text")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from pulseframe.llm.common import drop_columns, materialize, text_of, unit
+from pulseframe.llm.common import materialize, put_back, set_aside, text_of, unit
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -129,12 +129,8 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with the columns of ``docs``."""
     _, units = plan(docs, **options)
-    names = docs.columns
-    own = drop_columns(docs, {"size", "copies", "source_size", "target"}) if {"size", "copies", "source_size", "target"} & {c.lower() for c in names} else docs
-    if own is not docs:  # put clashing columns aside for the join
-        aside = [c for c in names if c.lower() in {"size", "copies", "source_size", "target"}]
-        own = docs.withColumnsRenamed({c: f"_own_{c}" for c in aside})
+    own = set_aside(docs, "doc_id", "text", "source")
     sized = own.withColumn("size", F.regexp_count(text_of(own), F.lit(WORD)).cast("long"))
     taken = _match(sized, units).where("copies > 0")
     taken = taken.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*[F.col(f"`_own_{c}`").alias(c) if f"_own_{c}" in taken.columns else F.col(f"`{c}`") for c in names])
+    return put_back(taken, docs, "doc_id", "text", "source")

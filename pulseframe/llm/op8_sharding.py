@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from pulseframe.llm.common import drop_columns, parts_for, text_of, unit
+from pulseframe.llm.common import parts_for, put_back, set_aside, text_of, unit
 
 #: Rows of one numbering block within a shard.
 BLOCK_ROWS = 50_000
@@ -70,6 +70,9 @@ def shard_of(key: list[Column], tree: list[Leaf]) -> Column:
     return below(rack, {p: _draw(key, c, f"shard/{p}") for p, c in paths.items()}).cast("int")
 
 
+ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def shard(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None) -> DataFrame:
     """``docs`` with size, text_crc32, law, shard, slot and grown_shard.
 
@@ -80,7 +83,7 @@ def shard(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None) ->
     are offset by the rows of those before them, so that no shard is sorted in
     one task. The count per block reads only the key.
     """
-    docs = drop_columns(docs, {"size", "text_crc32", "law", "shard", "slot", "grown_shard", "_block", "_tie", "_before"})
+    whole, docs = docs, set_aside(docs, "doc_id", "text")
     key = [docs["doc_id"]]
     blocks = parts_for(parts_for(docs.count(), max(1, len(tree))), BLOCK_ROWS)
     at = docs.withColumns({
@@ -98,4 +101,5 @@ def shard(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None) ->
     order = Window.partitionBy("shard", "_block").orderBy("doc_id", "_tie")
     out = rows.withColumn("slot", F.row_number().over(order) - 1)
     out = out.join(before, (F.col("shard") == F.col("_s")) & (F.col("_block") == F.col("_b")))
-    return out.withColumn("slot", (F.col("slot") + F.col("_before")).cast("long")).drop("_s", "_b", "_before", "_block", "_tie")
+    out = out.withColumn("slot", (F.col("slot") + F.col("_before")).cast("long"))
+    return put_back(out, whole, "doc_id", "text", added=ADDED, dropped=ADDED)

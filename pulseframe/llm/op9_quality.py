@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pulseframe.llm.common import add_up, as_blocks, byte_table, cut_words, drop_columns, fold, labelled_sample, slices
+from pulseframe.llm.common import add_up, as_blocks, byte_table, cut_words, drop_columns, fold, labelled_sample, put_back, set_aside, slices
 
 BUCKETS, WIDTH, NONZERO, REACH = 1 << 14, 48, 4, 2
 #: Labelled rows the network is fitted on, at most.
@@ -201,7 +201,5 @@ def report(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0,
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those scored below the threshold, in their own columns."""
-    names = docs.columns
-    aside = docs.withColumnsRenamed({c: f"_own_{c}" for c in names if c.lower() == "score"})
-    kept = score(aside, *fit(docs, labels)).where(F.col("score") >= threshold)
-    return kept.select(*[F.col(f"`_own_{c}`").alias(c) if c.lower() == "score" else F.col(f"`{c}`") for c in names])
+    kept = score(set_aside(docs, "doc_id", "text"), *fit(docs, labels)).where(F.col("score") >= threshold)
+    return put_back(kept, docs, "doc_id", "text")

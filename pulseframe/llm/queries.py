@@ -28,10 +28,12 @@ CHECKS["op1_line_dedup"] = r"""
 WITH l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS spot, len(lines) AS n_lines
     FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
   f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS n,
+      count(*) OVER (PARTITION BY doc_id) = 1 OR len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50 AS alone,
       lead(line) OVER (PARTITION BY doc_id ORDER BY spot) AS line2
     FROM l WHERE NOT regexp_full_match(line, '[\x20\x09-\x0D]*')),
   w AS (SELECT doc_id, n, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, n) AS place FROM f WHERE line2 IS NOT NULL),
-  g AS (SELECT DISTINCT doc_id, unnest([n, n + 1]) AS n FROM w WHERE place > 1),
+  o AS (SELECT doc_id, n, alone, row_number() OVER (PARTITION BY line ORDER BY doc_id, n) AS place FROM f),
+  g AS (SELECT doc_id, unnest([n, n + 1]) AS n FROM w WHERE place > 1 UNION SELECT doc_id, n FROM o WHERE place > 1 AND alone),
   r AS (SELECT f.*, g.n IS NOT NULL AS gone FROM f LEFT JOIN g ON f.doc_id = g.doc_id AND f.n = g.n),
   s AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT coalesce(before, false)) AS n_runs
     FROM (SELECT *, lag(gone) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM r) GROUP BY doc_id),

@@ -23,9 +23,9 @@ def test_matches_sql(spark, tables, folder, name):
 
 
 def brute_lines(docs, m):
-    """Kept text per document: lines in runs of m non-blank lines that start earlier elsewhere."""
+    """Kept text per document: lines in runs of m non-blank lines that start earlier elsewhere, and long single lines."""
     full = {i: [k for k, x in enumerate(t.split("\n")) if x.strip(" \t\n\x0b\f\r")] for i, t in docs}
-    seen, gone = set(), {}
+    seen, single, gone = set(), set(), {}
     for i, t in sorted(docs):
         lines, at = t.split("\n"), full[i]
         gone[i] = set()
@@ -34,6 +34,10 @@ def brute_lines(docs, m):
             if window in seen:
                 gone[i].update(at[k:k + m])
             seen.add(window)
+        for x in at:  # a long line, or a whole document, is a run by itself
+            if lines[x] in single and (len(at) == 1 or len(lines[x].split()) > 50):
+                gone[i].add(x)
+            single.add(lines[x])
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in docs}
 
 
@@ -41,11 +45,21 @@ def brute_lines(docs, m):
 def test_line_dedup_matches_brute_force(spark, m):
     rng = np.random.default_rng(m)
     docs = [(i, "\n".join(rng.choice(["a", "b", "c", "", " ", "d"], rng.integers(0, 12)))) for i in range(40)]
+    long = ["w " * 60 + str(k) for k in range(3)] + ["v " * 50, "u " * 51]
+    docs += [(50 + k, "\n".join(rng.permutation([*long, f"x{k}", f"y{k}"])[:int(rng.integers(1, 6))])) for k in range(12)]
+    docs += [(80, "a"), (81, "  a"), (82, "\n a"), (83, "only"), (84, "only"), (85, "first\nonly")]
     docs += [(40, "same\n" * 9), (41, ""), (42, "tail\nsame\nsame\n\nsame\nsame\nend")]
     got = {r.doc_id: r.kept_text for r in op1_lines.dedup(frame(spark, [(i, t, "s") for i, t in docs]), m).collect()}
     assert got == brute_lines(docs, m)
 
 
+def test_a_long_line_between_other_lines(spark):
+    passage = " ".join(f"word{k}" for k in range(80))
+    docs = [(k, f"before {k}\n{passage}\nafter {k}", "s") for k in range(3)]
+    assert [r.n_removed for r in op1_lines.report(frame(spark, docs)).orderBy("doc_id").collect()] == [0, 1, 1]
+    assert [r.n_removed for r in op1_lines.report(frame(spark, docs), long_words=None).collect()] == [0, 0, 0]
+
+
 def test_line_dedup_odd_rows(spark):
     docs = frame(spark, [(1, None, "s"), (2, "a\nb\nc", "s"), (2, "a\nb\nc", "s"), (None, "x\na\nb", "s"), (3, "q", "s")])
     rows = op1_lines.dedup(docs).collect()

@@ -3,6 +3,9 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+
 from pulseframe.llm import op2_simhash, op3_decontamination, op9_quality
 from pulseframe.llm.common import read
 
@@ -48,3 +51,26 @@ def test_near_duplicates_keep_a_document_of_every_class_without_ids(spark):
     assert kept.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
         [(None, text[0]), (None, text[1]), (5, text[2]), (5, text[3]), (7, text[4]), (None, text[5]), (5, None)])
+
+
+CLASHING = ("_doc_id", "_source", "_own_size", "size", "SIZE2", "copies", "_s", "_b", "_block", "_tie", "_before", "_own_score", "score", "_hits", "_n_words", "_rest", "c0", "a.b", "u", "p", "_time")
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_keep_columns_of_any_name(spark, stage):
+    """Null ids and texts, repeated rows, and columns named like the operators' own."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(5)).unionByName(docs.limit(30).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(
+        docs.limit(2).withColumn("text", F.lit(None).cast("string")))
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce("source", F.lit(""))).alias(c) for c in CLASHING])
+    name, run = corpus_pipeline.STAGES[stage]
+    found = run(spark, docs, sf_dir)
+    replaced = {"size"} if name == "sharding" else set()
+    rows = found.collect()
+    kept = [c for c in docs.columns if c not in replaced]
+    assert rows and found.columns[:len(kept)] == kept and set(docs.columns) <= set(found.columns)
+    for r in rows:
+        for c in CLASHING:
+            if c not in replaced:
+                assert r[c] == f"{c}:{r['source'] or ''}"

@@ -24,7 +24,7 @@ def whole(text):
 
 def by_tree(text, leaf, window):
     at = CODEC.cuts(text, leaf)
-    nodes = [CODEC.node(text[s:e]) for s, e in zip(at, [*at[1:], len(text)])]
+    nodes = [CODEC.unpacked(*CODEC.packed(CODEC.node(text[s:e]))) for s, e in zip(at, [*at[1:], len(text)])]
     while len(nodes) > 1:
         nodes = [CODEC.join(*nodes[k:k + 2], window) if k + 1 < len(nodes) else nodes[k] for k in range(0, len(nodes), 2)]
     assert nodes[0].text == text
@@ -51,6 +51,20 @@ def test_long_runs():
         assert got == whole(text) and (leaves > 1 or text[0] == "́")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=30), max_size=5))
+def test_words_give_the_whole_encoding(texts):
+    texts = ["".join(t) for t in texts]
+    assert CODEC.by_word and [i.tolist() for i in CODEC.ids(texts)] == [whole(t) for t in texts]
+
+
+def test_a_tokenizer_that_keeps_white_space():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    codec, library = op11_bpe.Codec(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    texts = ["a b", "  two  blanks\n\n here ", "word" * 60]
+    assert not codec.by_word and [i.tolist() for i in codec.ids(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_no_leaf_starts_with_a_character_that_composes():
     second = set()
     for c in map(chr, range(0x110000)):
@@ -81,12 +95,12 @@ def test_query_matches_the_library(spark, folder):
 @pytest.mark.parametrize("leaf,fan", [(16_384, 16), (50, 2), (17, 3)])
 def test_odd_tables(spark, leaf, fan):
     rng = random.Random(leaf)
-    texts = [None, "", " \n", "x", "<|endoftext|>" * 9, "a" * 400, "".join(rng.choice(PARTS) for _ in range(400)), *["same long text " * 40] * 30]
+    texts = [None, "", " \n", "x", "<|endoftext|>" * 9, "a" * 400, "".join(rng.choice(PARTS) for _ in range(400)), *["same long text " * 40] * 30, *["x" * 90 + " " + "é" * 70] * 2]
     docs = [(None if k % 9 == 4 else k // 2, t, "kept", -1) for k, t in enumerate(texts)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, ids string, _bpe_key int")
     assert rows(op11_bpe.report(frame, PATH, leaf, fan)) == sorted((digests(d[0], d[1]) for d in docs), key=repr)
     got = op11_bpe.decode(op11_bpe.encode(frame, PATH, leaf, fan), PATH)
-    assert got.columns == ["doc_id", "text", "ids", "decoded"]
+    assert got.columns == ["doc_id", "text", "_bpe_key", "ids", "decoded"]
     assert sorted((repr(r.text), list(r.ids)) for r in got.collect()) == sorted((repr(d[1]), whole(d[1])) for d in docs)
 
 

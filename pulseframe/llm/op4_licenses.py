@@ -3,7 +3,7 @@
 Units are a file's opening, its lines, its paragraphs of several lines, and its whole text.
 A unit's weights are word counts times ln((1 + files) / (1 + files with the word)) + 1, the
 files counted over the whole table by hash bucket of the word. A unit can only reach
-the threshold if it has one of the heaviest words of the template: without
+the threshold if it has one of the rarest words of the template: without
 those, what is left of the template is shorter than the threshold. Only such units are
 taken apart. A file that opens with a licence's title, of which licence text makes up a large
 part, or whose name says so, is a licence file and speaks for its directory; files without a licence of their own take that of
@@ -119,11 +119,11 @@ def template_weights(idf: dict[str, float], templates=None) -> list[tuple[int, s
     return out
 
 
-def leading_words(weights: list[tuple[int, str, int, str, float]], threshold: float) -> list[str]:
-    """Heaviest words of each template, without which the rest is shorter than the threshold."""
+def leading_words(weights: list[tuple[int, str, int, str, float]], idf: dict[str, float], threshold: float) -> list[str]:
+    """Rarest words of each template, without which the rest is shorter than the threshold."""
     lead: set[str] = set()
     for k in {w[0] for w in weights}:
-        own, rest = sorted((w for w in weights if w[0] == k), key=lambda w: (-w[4], w[3])), 1.0
+        own, rest = sorted((w for w in weights if w[0] == k), key=lambda w: (-idf[w[3]], -w[4], w[3])), 1.0
         needed = max(threshold, TITLE_THRESHOLD) if own[0][2] == TITLE else threshold
         for w in own:
             if math.sqrt(max(0.0, rest)) < needed - 1e-9:
@@ -164,7 +164,7 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD, file_share: flo
     known = spark.createDataFrame([(w,) for w in vocabulary], "word string").withColumn("bucket", bucket(F.col("word")))
     idf = {r.word: math.log((1 + total) / (1 + (r.n or 0))) + 1 for r in known.join(frequency, "bucket", "left").collect()}
     weights = template_weights(idf)
-    lead = leading_words(weights, threshold)
+    lead = leading_words(weights, idf, threshold)
     # Files with a leading word, cut into units.
     likely = files.where(F.translate("text", UPPER, LOWER).rlike(f"(^|[^0-9a-z])({_any_of(lead)})([^0-9a-z]|$)"))
     units = likely.select("path", F.size(words(F.col("text"))).alias("n_file"), F.posexplode(_units(F.col("text"))).alias("unit", "text"))

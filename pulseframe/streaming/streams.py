@@ -9,6 +9,7 @@ from __future__ import annotations
 import pickle
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -298,41 +299,80 @@ def upsert_delta(stored: DataFrame | None, arriving: DataFrame, keys: list[str],
     return marked.select(*keys, "_new.*", "_state", "_rows")
 
 
-#: Batches after which the table is written anew with one row per key.
-COMPACT_EVERY = 10
+#: Batches after which the table is written anew with one row per key, and the folders that a table's rows are dealt into by key.
+COMPACT_EVERY, KEY_BUCKETS = 10, 64
 
 
-def _stored(spark: SparkSession, path: str, number: int, keys: list[str], version: str, names: list[str]) -> DataFrame | None:
-    """Rows of the batches before ``number``: the last compaction and what came after it.
+def _bucket(keys: list[str]):
+    return F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int").alias("key_bucket")
 
-    The batch that starts a new ten first writes the compaction; one that is
-    repeated after a failure writes the same rows again.
+
+def _write_bucketed(rows: DataFrame, keys: list[str], to: str) -> None:
+    """Write with a folder per key bucket; Spark merges the small ones of a batch into few tasks and splits the large ones."""
+    rows.withColumn("key_bucket", _bucket(keys)).hint("rebalance", F.col("key_bucket")).write.mode("overwrite").partitionBy("key_bucket").parquet(to)
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(compaction, last batch) of the table as last committed; (0, -1) before the first batch."""
+    slots = spark.read.schema("batch int, compaction int").parquet(f"{path}/manifest")
+    last = slots.agg(F.max(F.struct("batch", "compaction")).alias("m")).first().m  # at most COMPACT_EVERY + 1 rows
+    return (last.compaction, last.batch) if last else (0, -1)
+
+
+def _commit(spark: SparkSession, path: str, number: int, compaction: int) -> None:
+    """Make a batch part of the table. Slots are used in turn, so that the entry before stays readable meanwhile."""
+    entry = spark.createDataFrame([(number, compaction)], "batch int, compaction int").coalesce(1)
+    entry.write.mode("overwrite").parquet(f"{path}/manifest/slot={number % COMPACT_EVERY}")
+
+
+def _rows_of(spark: SparkSession, path: str, compaction: int, end: int, schema: T.StructType) -> DataFrame | None:
+    """Rows of a compaction and of the batches from it up to ``end`` (not included), with ``batch`` and ``key_bucket``."""
+    full = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType()), T.StructField("key_bucket", T.IntegerType())])
+    parts = []
+    if compaction:
+        parts.append(spark.read.schema(full).parquet(f"{path}/compact/upto={compaction}"))
+    if end > compaction:
+        folders = [f"{path}/table/batch={k}" for k in range(compaction, end)]
+        parts.append(spark.read.schema(full).option("basePath", f"{path}/table").parquet(*folders))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _newest(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    values = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*by)).alias("_v")).select(*keys, "_v.*")
+
+
+def _compacted(spark: SparkSession, path: str, number: int, keys: list[str], version: str, schema: T.StructType) -> int:
+    """The compaction that batch ``number`` starts from; the batch that starts a new ten writes it.
+
+    A batch that is repeated after a failure writes it again from the same folders, unless the batch was
+    committed already: then the folders may be gone, and the compaction stands.
     """
-    if number == 0:
-        return None
-    def after(first: int) -> DataFrame:
-        rows = spark.read.option("basePath", f"{path}/table").parquet(*[f"{path}/table/batch={k}" for k in range(first, number)])
-        return rows.select(*names, "batch")
     start = number - number % COMPACT_EVERY
-    kept = f"{path}/compact/upto={start}"
-    if number == start:
-        rows = after(number - COMPACT_EVERY)
-        if start > COMPACT_EVERY:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/compact/upto={start - COMPACT_EVERY}").select(*names, "batch"))
-        values = [c for c in [*names, "batch"] if c not in keys]
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(F.col(version), "batch")).alias("_v")).select(*keys, "_v.*")
-        newest.write.mode("overwrite").parquet(kept)
-        return spark.read.parquet(kept)
-    rows = after(start)
-    return rows.unionByName(spark.read.parquet(kept).select(*names, "batch")) if start else rows
+    if number == start and number and _manifest(spark, path)[1] < number:
+        rows = _rows_of(spark, path, start - COMPACT_EVERY, number, schema)
+        _write_bucketed(_newest(rows, keys, [version, "batch"]), keys, f"{path}/compact/upto={start}")
+    return start
 
 
 def current_state(spark: SparkSession, path: str, keys: list[str], schema: T.StructType) -> DataFrame:
-    """Newest stored row per key."""
-    rows = spark.read.option("basePath", f"{path}/table").parquet(f"{path}/table")
-    values = [c for c in schema.names if c not in keys]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-    return newest.select(*keys, "_v.*").select(*schema.names)
+    """Newest stored row per key, from the last compaction and the batches committed since.
+
+    Reads no folder before the compaction, and none of a batch that is still being written.
+    """
+    compaction, last = _manifest(spark, path)
+    rows = _rows_of(spark, path, compaction, last + 1, schema)
+    if rows is None:
+        return spark.createDataFrame([], schema)
+    return _newest(rows, keys, ["batch"]).select(*schema.names)
+
+
+def superseded(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the last ten batches before the compaction, and the compaction before it, that nothing reads any more."""
+    compaction, _ = _manifest(spark, path)
+    before = max(0, compaction - COMPACT_EVERY)
+    old = [f"{path}/{kind}/batch={k}" for kind in ("table", "arrived") for k in range(before, compaction)]
+    return old + ([f"{path}/compact/upto={before}"] if before else [])
 
 
 def incremental_ingest(stream: DataFrame, path: str, keys: list[str], version: str) -> DataFrame:
@@ -340,22 +380,28 @@ def incremental_ingest(stream: DataFrame, path: str, keys: list[str], version: s
 
     A batch appends only its new and changed rows, in a folder of its own
     number; a repeated batch rewrites that folder. Every tenth batch starts
-    from a compaction, so that no run reads the whole history. A version older than the stored one is
-    skipped. Returns the counts per batch.
+    from a compaction, and rows lie in folders by key bucket, so that a run reads neither the whole history nor
+    the buckets that no arriving key is in. The last step of a batch is its entry in the manifest. A version older than
+    the stored one is skipped. Returns the counts per batch.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        stored = _stored(spark, path, number, keys, version, batch.columns)
+        compaction = _compacted(spark, path, number, keys, version, batch.schema)
+        stored = _rows_of(spark, path, compaction, number, batch.schema)
+        if stored is not None:
+            touched = [r.key_bucket for r in batch.select(_bucket(keys)).distinct().collect()]  # at most KEY_BUCKETS numbers
+            stored = stored.where(F.col("key_bucket").isin(touched)).drop("key_bucket")
         # Written once: the rows of the table and the counts both come from it.
         upsert_delta(stored, batch, keys, version).write.mode("overwrite").parquet(f"{path}/arrived/batch={number}")
         marked, state = spark.read.parquet(f"{path}/arrived/batch={number}"), F.col("_state")
-        marked.where(state.isin("inserted", "updated")).drop("_rows").write.mode("overwrite").parquet(f"{path}/table/batch={number}")
+        _write_bucketed(marked.where(state.isin("inserted", "updated")).drop("_rows", "_state"), keys, f"{path}/table/batch={number}")
         counts = marked.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("records_processed"),
                             F.count_if(state == "inserted").alias("inserted"), F.count_if(state == "updated").alias("updated"))
         counts.select(F.lit(number).alias("run_number"), "records_processed", "inserted", "updated",
                       (F.col("records_processed") - F.col("inserted") - F.col("updated")).alias("skipped")) \
             .write.mode("overwrite").parquet(f"{path}/counts/run={number}")
+        _commit(spark, path, number, compaction)
 
     run_batches(stream, merge, f"{path}/state")
     return spark.read.option("basePath", f"{path}/counts").parquet(f"{path}/counts").drop("run")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import shutil
 from types import SimpleNamespace
 
 import pytest
@@ -212,3 +213,38 @@ def test_an_older_version_never_replaces_a_newer_one(spark, tmp_path, monkeypatc
     assert got == {0: (2, 0, 0), 1: (1, 0, 1), 2: (1, 1, 0), 3: (1, 0, 1), 4: (1, 1, 0), 5: (1, 0, 1), 6: (1, 0, 1)}
     now = {r["user_id"]: r["value"] for r in streams.current_state(spark, state, ["user_id"], schema).collect()}
     assert now == {1: 12} | {100 + k: k for k in range(7)}
+
+
+def test_the_table_is_its_compaction_and_the_batches_since(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "COMPACT_EVERY", 3)
+    schema = spark.createDataFrame([], EVENTS).schema
+    land, state = f"{tmp_path}/land", f"{tmp_path}/state"
+    want = {}
+    for k in range(8):
+        rows = [(u, ts(f"2024-01-{k + 1:02d}"), 10 * k + u) for u in range(k, k + 4)]
+        want |= {u: v for u, _, v in rows}
+        _land(spark, land, rows)
+        streams.incremental_ingest(streams.file_stream(spark, land, schema), state, ["user_id"], "ts")
+        for folder in streams.superseded(spark, state):
+            shutil.rmtree(folder, ignore_errors=True)  # nothing reads them
+        now = streams.current_state(spark, state, ["user_id"], schema)
+        assert {r["user_id"]: r["value"] for r in now.collect()} == want
+    assert streams._manifest(spark, state) == (6, 7)
+    read = {f.split("key_bucket")[0].rstrip("/").split("/")[-1] for f in now.inputFiles()}
+    assert read == {"upto=6", "batch=6", "batch=7"}
+    # A batch that was begun and not committed is no part of the table; a repeated one may come after its folders went.
+    streams._write_bucketed(spark.createDataFrame([(99, None, 1)], schema), ["user_id"], f"{state}/table/batch=8")
+    assert streams.current_state(spark, state, ["user_id"], schema).where("user_id = 99").isEmpty()
+    assert streams._compacted(spark, state, 6, ["user_id"], "ts", schema) == 6
+    assert {r["user_id"]: r["value"] for r in streams.current_state(spark, state, ["user_id"], schema).collect()} == want
+
+
+def test_a_merge_reads_the_buckets_of_the_arriving_keys(spark, tmp_path):
+    schema = spark.createDataFrame([], EVENTS).schema
+    rows = spark.createDataFrame([(u, ts("2024-01-01"), u) for u in range(500)], schema)
+    streams._write_bucketed(rows, ["user_id"], f"{tmp_path}/table/batch=0")
+    stored = streams._rows_of(spark, str(tmp_path), 0, 1, schema)
+    bucket = rows.where("user_id = 7").select(streams._bucket(["user_id"])).first()[0]
+    pruned = stored.where(F.col("key_bucket").isin([bucket]))
+    assert "PartitionFilters: [isnotnull(key_bucket" in pruned._jdf.queryExecution().toString()
+    assert pruned.where("user_id = 7").count() == 1 and 0 < pruned.count() < 50 and stored.count() == 500

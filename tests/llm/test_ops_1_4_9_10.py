@@ -1,5 +1,6 @@
 """Line dedup and licences against SQL and small cases; classifiers against held-out labels."""
 
+import math
 import pathlib
 import zlib
 
@@ -175,3 +176,22 @@ def test_segments_match_the_definition():
     for _ in range(200):
         s = np.round(rng.normal(-0.3, 1, rng.integers(0, 14)), 6)
         assert sorted((a, b) for a, b, _ in op10_toxicity.segments(s)) == sorted(brute(s.tolist(), 0, len(s)))
+
+
+def test_log_odds_and_evidence_match_plain_python():
+    rng = np.random.default_rng(2)
+    corpus, toxic, other = (rng.integers(0, m, 30).astype(float) for m in (400, 12, 60))
+    got = op10_toxicity.log_odds(corpus, toxic, other, 14, 70)
+    for c, t, o, x in zip(corpus, toxic, other, got):
+        prior = op10_toxicity.PRIOR * c / sum(corpus) + op10_toxicity.FLOOR
+        delta = math.log((t + prior) / (14 + 2 * prior)) - math.log((o + prior) / (70 + 2 * prior))
+        room = abs(delta) - op10_toxicity.SURE * math.sqrt(1 / (t + prior) + 1 / (o + prior))
+        assert x == pytest.approx(math.copysign(room, delta) if room > 0 else 0.0)
+    for _ in range(100):
+        s = np.round(rng.normal(-0.4, 1, rng.integers(1, 25)), 6)
+        decay, log_k = 1.3, -2.0
+        _, found = op10_toxicity.evidence(s, decay, log_k)
+        want = [(a, b - a, len(s) * math.exp(log_k - decay * x)) for a, b, x in op10_toxicity.segments(s)]
+        want = [w for w in want if w[2] < 1]  # fewer than one as good expected
+        assert [(f["first_word"], f["n_words"]) for f in found] == [w[:2] for w in want]
+        assert [f["expected"] for f in found] == pytest.approx([w[2] for w in want])

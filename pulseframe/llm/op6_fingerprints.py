@@ -1,14 +1,20 @@
-"""Document fingerprints that can be subtracted: invertible Bloom lookup sketches of paragraphs.
-
-A paragraph is a line, or, of a line of over 600 characters, a sentence, and its digest is
-its 64-bit hash. A sketch has three rows of eight cells; a digest goes into one cell of
-each row, and a cell keeps how many came, and the exclusive-or of the digests and of
-their check hashes. Sketches subtract cell by cell, and what two versions share
-cancels. Cells left with one digest give it away; it is taken out of its other cells, and so on,
-until nothing is left: these are the differing paragraphs. Sketches of long texts are
-groups of such tables, a digest's group coming from its upper bits. If something is
-left of a group, its tables were too small, and it is retried with more of them. A
-text's fingerprint is its sketch of one table.
+"""Document fingerprints that can be subtracted: invertible Bloom lookup sketches of paragraph pieces.
+
+Texts of every length are cut by one rule: at line ends, and in a line after 20 units,
+a unit being up to eight characters of a word and the blanks behind them. From the
+twelfth unit on a piece already ends where the end of a sentence, a comma, a colon or one of three vowels
+stands before a blank, so that pieces meet again behind an insertion. A piece's digest is its 64-bit hash.
+
+A sketch has three rows of eight cells; a digest goes into one cell of each row, and
+a cell keeps how many came, and the exclusive-or of the digests and of their check
+hashes. Sketches subtract cell by cell, and what two versions share cancels. Cells
+left with one digest give it away; it is taken out of its other cells, and so on,
+until nothing is left: these are the differing digests. A text's fingerprint is
+its sketch. The fingerprints of two texts are subtracted first. If something is
+left of them they were too small, and larger sketches are peeled: as many tables as the
+numbers of digests call for, then four in place of each one that fails. Every
+retry deals by two other bits of the digests, 32 times if need be, which tells any two
+digests apart; so the retries end with all differences recovered.
 
 All of it is expressions over a row's arrays. The next document is found in a window
 over ranges of ids, whose bounds come from a narrow pass over the ids.
@@ -25,109 +31,135 @@ from pulseframe.llm.common import parts_for, text_of
 
 #: Documents per range of ids, ranges at most, and rounds of peeling.
 RANGE_ROWS, MAX_RANGES, ROUNDS = 3_000, 100_000, 8
-#: Expected differences per table, and tables in place of one that failed, as often as this.
-LOAD, SPLIT, RETRIES = 11, 4, 2
-LONG_LINE = 600
+#: Rows of a table and bits that a row looks at; 2 ** BITS cells make a row.
+ROWS, BITS = 3, 3
+#: Expected differences per table of larger sketches, and retries: one for each two bits of a digest.
+LOAD, RETRIES = 11, 32
+#: The pieces of a line.
+PIECE = r"(?:\S{1,8}+\s*+){12,19}?(?<=[.!?,:aeo] )|(?:\S{1,8}+\s*+){1,20}"
 
 
 def digests(text: Column) -> Column:
-    """Distinct digests of the paragraphs of a text; blank ones do not count."""
-    lines = F.split(text, "\n")
-    cut = F.flatten(F.transform(lines, lambda p: F.when(F.length(p) > LONG_LINE, F.split(p, "(?<=[.!?]) ")).otherwise(F.array(p))))
-    return F.array_distinct(F.transform(F.filter(cut, lambda p: F.length(F.trim(p)) > 0), lambda p: F.xxhash64(p)))
+    """Distinct digests of the pieces of a text; blanks alone are no piece."""
+    pieces = F.flatten(F.transform(F.split(text, "\n"), lambda p: F.regexp_extract_all(p, F.lit(PIECE), F.lit(0))))
+    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
-def _rows(bits: int) -> list[tuple[int, list[int]]]:
-    """(mask, values) of the three rows of a table: a digest is in the cell whose value its masked bits have."""
-    return [(7 << (bits + 3 * r), [v << (bits + 3 * r) for v in range(8)]) for r in range(3)]
+_NONE = "cast(array() AS array<bigint>)"
+_WHOLE = "forall({0}.t, c -> c.n = 0 AND c.k = 0)"
 
 
-def _table(digests: str, bits: int) -> str:
-    """SQL: the cells of one table, each with its mask and value."""
-    return "concat(" + ", ".join(
-        f"transform(array({', '.join(f'{v}L' for v in values)}), v -> aggregate(filter({digests}, x -> (x & {mask}L) = v), "
-        f"named_struct('n', 0, 'k', 0L, 'c', 0L, 'm', {mask}L, 'v', v), "
-        "(s, x) -> named_struct('n', s.n + 1, 'k', s.k ^ x, 'c', s.c ^ xxhash64(x), 'm', s.m, 'v', s.v)))"
-        for mask, values in _rows(bits)) + ")"
+def _cells(first: int | str, cell: str) -> str:
+    """SQL: the cells of a table by ``cell``, which has {m} for the bits a cell looks at and {v} for their value.
 
+    The rows look at their bits one after the other, from the bit ``first`` on, which may be an expression.
+    """
+    rows = [BITS * r for r in range(ROWS)]
+    if isinstance(first, int):
+        masks = [((2 ** BITS - 1) << at, [v << at for v in range(2 ** BITS)]) for at in (first + r for r in rows)]
+        return "concat(" + ", ".join(f"transform(array({', '.join(f'{v}L' for v in values)}), v -> {cell.format(m=f'{m}L', v='v')})" for m, values in masks) + ")"
+    pairs = ", ".join(f"named_struct('m', shiftleft({2 ** BITS - 1}L, {first} + {r}), 'v', shiftleft({v}L, {first} + {r}))" for r in rows for v in range(2 ** BITS))
+    return f"transform(array({pairs}), z -> {cell.format(m='z.m', v='z.v')})"
 
-def _side(part: str, bits: int, value: str) -> str:
-    """SQL: the digests of ``part`` whose masked bits have the value."""
-    return f"filter({part}, y -> (y & {bits}L) = {value})"
 
+def _filled(count: str, digests: str) -> str:
+    """SQL: a cell with these digests."""
+    return (f"named_struct('n', {count}, 'k', aggregate({digests}, 0L, (s, x) -> s ^ x), "
+            f"'c', aggregate({digests}, 0L, (s, x) -> s ^ xxhash64(x)), 'm', {{m}}, 'v', {{v}})")
 
-def _difference(a: str, b: str, bits: int) -> str:
-    """SQL: the table of digests ``a`` less that of ``b``, cell by cell."""
-    cell = "named_struct('n', p.n - q.n, 'k', p.k ^ q.k, 'c', p.c ^ q.c, 'm', p.m, 'v', p.v)"
-    return f"zip_with({_table(a, bits)}, {_table(b, bits)}, (p, q) -> {cell})"
 
+def _here(digests: str) -> str:
+    """SQL: the digests that go into a cell."""
+    return f"filter({digests}, x -> (x & {{m}}) = {{v}})"
 
-_NONE = "cast(array() AS array<bigint>)"
-_WHOLE = "forall({0}.t, c -> c.n = 0 AND c.k = 0)"
+
+def _difference(a: str, b: str, first: int | str) -> str:
+    """SQL: the sketch of digests ``a`` less that of ``b``, filled at once."""
+    both = f"named_struct('a', {_here(a)}, 'b', {_here(b)})"
+    return _cells(first, f"element_at(transform(array({both}), y -> {_filled('size(y.a) - size(y.b)', 'concat(y.a, y.b)')}), 1)")
+
+
+def _subtracted(a: str, b: str) -> str:
+    """SQL: sketch ``a`` less sketch ``b``, cell by cell."""
+    return f"zip_with({a}, {b}, (p, q) -> named_struct('n', p.n - q.n, 'k', p.k ^ q.k, 'c', p.c ^ q.c, 'm', p.m, 'v', p.v))"
 
 
 def _peeled(table: str) -> str:
-    """SQL: (t, a, b): what is left of a difference, and the digests recovered on each side."""
+    """SQL: (t, a, b, go): what is left of a difference, and the digests recovered on each side."""
     pure = "array_distinct(transform(filter(s.t, c -> abs(c.n) = 1 AND xxhash64(c.k) = c.c), c -> named_struct('k', c.k, 'n', c.n)))"
     without = ("transform(s.t, c -> aggregate(filter(p, q -> (q.k & c.m) = c.v), c, (u, q) -> "
                "named_struct('n', u.n - q.n, 'k', u.k ^ q.k, 'c', u.c ^ xxhash64(q.k), 'm', u.m, 'v', u.v)))")
     side = lambda n: f"transform(filter(p, q -> q.n = {n}), q -> q.k)"
-    return (f"aggregate(sequence(1, {ROUNDS}), named_struct('t', {table}, 'a', {_NONE}, 'b', {_NONE}), "
-            f"(s, r) -> element_at(transform(array({pure}), p -> if(size(p) = 0, s, named_struct("
-            f"'t', {without}, 'a', concat(s.a, {side(1)}), 'b', concat(s.b, {side(-1)})))), 1))")
+    step = (f"element_at(transform(array({pure}), p -> if(size(p) = 0, named_struct('t', s.t, 'a', s.a, 'b', s.b, 'go', false), "
+            f"named_struct('t', {without}, 'a', concat(s.a, {side(1)}), 'b', concat(s.b, {side(-1)}), 'go', true))), 1)")
+    return (f"aggregate(sequence(1, {ROUNDS}), named_struct('t', {table}, 'a', {_NONE}, 'b', {_NONE}, 'go', true), "
+            f"(s, r) -> if(s.go, {step}, s))")
+
+
+def _tried(g: str, first: int | str) -> str:
+    """SQL: (a, b, left): the differences of a group of digests, or the group itself in ``left`` if its tables do not peel."""
+    found = _peeled(_difference(f"{g}.a", f"{g}.b", first))
+    nothing = "cast(array() AS array<struct<a: array<bigint>, b: array<bigint>>>)"
+    return (f"element_at(transform(array({found}), f -> if({_WHOLE.format('f')}, named_struct('a', f.a, 'b', f.b, 'left', {nothing}), "
+            f"named_struct('a', {_NONE}, 'b', {_NONE}, 'left', array({g})))), 1)")
 
 
-def _recovered(a: str, b: str, level: int = 0) -> str:
-    """SQL: (a, b, whole) recovered from one group of digests; a failure is retried with larger sketches.
+def _together(groups: str, a: str = _NONE, b: str = _NONE) -> str:
+    """SQL: the results of groups as one, behind what was found before."""
+    flat = lambda f: f"flatten(transform(e, z -> z.{f}))"
+    return (f"element_at(transform(array({groups}), e -> named_struct('a', concat({a}, {flat('a')}), "
+            f"'b', concat({b}, {flat('b')}), 'left', {flat('left')})), 1)")
 
-    The retry has ``SPLIT`` tables in place of one, each over its part of the digests and with
-    bits of its own.
+
+def _dealt(part: str, n: str, value: str, at: str) -> str:
+    """SQL: the digests of both sides whose bits below ``n``, from the bit ``at`` on, have the value."""
+    side = lambda x: f"filter({part}.{x}, y -> (y & shiftleft({n} - 1, {at})) = shiftleft({value}, {at}))"
+    return f"named_struct('a', {side('a')}, 'b', {side('b')})"
+
+
+def _larger(a: str, b: str) -> str:
+    """SQL: the differences by sketches of ``_high * _low`` tables, and by four for each that fails, until none does.
+
+    Digests are dealt to the tables in two steps, so that a long text costs little more than its length.
     """
-    r = f"r{level}"
-    done = f"named_struct('a', {r}.a, 'b', {r}.b, 'whole', {_WHOLE.format(r)})"
-    first = _peeled(_difference(a, b, 9 * level))
-    if level == RETRIES:
-        return f"element_at(transform(array({first}), {r} -> {done}), 1)"
-    mask, at, u, x, y = (SPLIT - 1) << (54 + 3 * level), 54 + 3 * level, f"u{level}", f"x{level}", f"y{level}"
-    each = (f"transform(sequence(0L, {SPLIT - 1}L), {u} -> element_at(transform(array(named_struct("
-            f"'a', {_side(a, mask, f'shiftleft({u}, {at})')}, 'b', {_side(b, mask, f'shiftleft({u}, {at})')})), "
-            f"{x} -> {_recovered(f'{x}.a', f'{x}.b', level + 1)}), 1))")
-    larger = (f"element_at(transform(array({each}), {y} -> named_struct('a', flatten(transform({y}, z -> z.a)), "
-              f"'b', flatten(transform({y}, z -> z.b)), 'whole', forall({y}, z -> z.whole))), 1)")
-    return f"element_at(transform(array({first}), {r} -> if({_WHOLE.format(r)}, {done}, {larger})), 1)"
-
-
-def compare(df: DataFrame, a: str, b: str, expected: str, to: str) -> DataFrame:
-    """``df`` with the column ``to``: (only_a, only_b, whole, likeness) for two columns of digests.
-
-    The sketches have a table per ``LOAD`` of the ``expected`` differences; digests are dealt
-    to the tables by bits of their own, in two steps, so that a long text costs little
-    more than its length. Likeness is the share of distinct paragraphs in both texts
-    among those in either; two texts without paragraphs are alike. Where not even the last retry recovers
-    all, ``whole`` is false and the differences are those of the two columns themselves.
+    groups = (f"flatten(transform(sequence(0L, _high - 1), h -> element_at(transform(array({_dealt(f'named_struct({chr(39)}a{chr(39)}, {a}, {chr(39)}b{chr(39)}, {b})', '_high', 'h', '38')}), "
+              f"w -> transform(sequence(0L, _low - 1), l -> {_dealt('w', '_low', 'l', '46')})), 1)))")
+    first = _together(f"transform({groups}, g -> {_tried('g', ROWS * BITS)})")
+    at = "(18 + 8 * i + 2 * (i div 8)) % 64"  # all pairs of bits in 32 steps, and cells by other bits than before for the first few
+    quarters = f"flatten(transform(t.left, g -> transform(array(0L, 1L, 2L, 3L), u -> {_dealt('g', '4L', 'u', f'cast({at} AS int)')})))"
+    again = _together(f"transform({quarters}, g -> {_tried('g', f'cast({at} + 2 AS int)')})", "t.a", "t.b")
+    return f"aggregate(sequence(0, {RETRIES - 1}), {first}, (t, i) -> if(size(t.left) = 0, t, {again}))"
+
+
+def sketch(digests: str) -> Column:
+    """The fingerprint of a column of digests, as cells."""
+    return F.expr(_cells(0, f"element_at(transform(array({_here(digests)}), y -> {_filled('size(y)', 'y')}), 1)"))
+
+
+def compare(df: DataFrame, a: str, b: str, sketch_a: str, sketch_b: str, expected: str, to: str) -> DataFrame:
+    """``df`` with the column ``to``: (only_a, only_b, likeness, larger) for two columns of digests and their sketches.
+
+    The sketches are subtracted and peeled. Where they were too small, ``larger`` is true and the
+    differences come from sketches with a table per ``LOAD`` of the ``expected`` differences, and their
+    retries. Likeness is the share of distinct pieces in both texts among those in either; two texts
+    without pieces are alike.
     """
     groups = f"cast(pow(2, ceil(log2(greatest(1, ({expected}) / {LOAD})))) AS bigint)"
     out = df.withColumn("_high", F.expr(f"cast(pow(2, floor(log2({groups}) / 2)) AS bigint)"))
     out = out.withColumn("_low", F.expr(f"{groups} div _high"))
-    deal = lambda part, n, var, at: f"filter({part}, y -> (y & shiftleft({n} - 1, {at})) = shiftleft({var}, {at}))"
-    both = lambda x, y, n, var, at: f"array(named_struct('a', {deal(x, n, var, at)}, 'b', {deal(y, n, var, at)}))"
-    low = (f"transform(sequence(0L, _low - 1), l -> element_at(transform({both('h2.a', 'h2.b', '_low', 'l', 46)}, "
-           f"g -> {_recovered('g.a', 'g.b')}), 1))")
-    all_ = (f"flatten(transform(sequence(0L, _high - 1), h -> element_at(transform({both(a, b, '_high', 'h', 38)}, h2 -> {low}), 1)))")
     out = out.withColumn("_found", F.expr(
-        f"element_at(transform(array({all_}), e -> named_struct('only_a', flatten(transform(e, z -> z.a)), "
-        "'only_b', flatten(transform(e, z -> z.b)), 'whole', forall(e, z -> z.whole))), 1)"))
-    exact = F.struct(F.array_except(a, b).alias("only_a"), F.array_except(b, a).alias("only_b"), F.lit(False).alias("whole"))
-    out = out.withColumn("_found", F.when(F.col("_found.whole"), F.col("_found")).otherwise(exact))
-    likeness = ((F.size(a) - F.size("_found.only_a")) / (F.size(a) + F.size("_found.only_b"))).cast("double")
-    likeness = F.when(F.size(a) + F.size("_found.only_b") == 0, F.lit(1.0)).otherwise(F.greatest(likeness, F.lit(0.0)))
-    return out.withColumn(to, F.struct("_found.only_a", "_found.only_b", "_found.whole", likeness.alias("likeness"))).drop(
-        "_found", "_high", "_low")
+        f"element_at(transform(array({_peeled(_subtracted(sketch_a, sketch_b))}), f -> if({_WHOLE.format('f')}, "
+        f"named_struct('a', f.a, 'b', f.b, 'larger', false), element_at(transform(array({_larger(a, b)}), "
+        "t -> named_struct('a', t.a, 'b', t.b, 'larger', true)), 1))), 1)"))
+    either = F.size(a) + F.size("_found.b")
+    likeness = F.when(either == 0, F.lit(1.0)).otherwise(((F.size(a) - F.size("_found.a")) / either).cast("double"))
+    return out.withColumn(to, F.struct(F.col("_found.a").alias("only_a"), F.col("_found.b").alias("only_b"), likeness.alias("likeness"),
+                                       F.col("_found.larger").alias("larger"))).drop("_found", "_high", "_low")
 
 
-def as_text(digests: str) -> Column:
-    """The fingerprint: the sketch of one table as text, per cell the count, the digests and the checks."""
-    return F.expr(f"array_join(transform({_table(digests, 0)}, c -> concat(hex(c.n), '.', hex(c.k), '.', hex(c.c))), ' ')")
+def as_text(cells: str) -> Column:
+    """The fingerprint as text: per cell the count, the digests and the checks."""
+    return F.expr(f"array_join(transform({cells}, c -> concat(hex(c.n), '.', hex(c.k), '.', hex(c.c))), ' ')")
 
 
 # -- the next document -----------------------------------------------------------------
@@ -180,21 +212,21 @@ def fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Fingerprint of every text and of its edited text, and what their subtraction recovers.
 
     The edited text has its last half replaced by the start of the next document.
-    A null text is empty, an empty one has no paragraphs and an empty sketch. A
+    A null text is empty, an empty one has no pieces and an empty sketch. A
     single document is its own next one. ``edited`` and ``next`` hold the recovered
-    digests of each side, whether the sketches gave all of them, and the likeness.
+    digests of each side, the likeness, and whether larger sketches were needed.
     """
     text = text_of(docs)
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).withColumn("d", digests(F.col("text")))
-    rows = with_next(own, ["text", "d"], range_rows)
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).withColumn("d", digests(F.col("text"))).withColumn("sd", sketch("d"))
+    rows = with_next(own, ["text", "d", "sd"], range_rows)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn(
         "edited_text", F.concat(F.left("text", n - half), F.left("next_text", half))).drop("text", "next_text")
-    rows = rows.withColumn("e", digests(F.col("edited_text"))).withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
-    rows = compare(rows, "d", "e", "greatest(size(d), size(e))", "edited")
-    rows = compare(rows, "d", "next_d", "size(d) + size(next_d)", "next")
-    return rows.select("doc_id", "n_chars", "edited_sha256", as_text("d").alias("fingerprint"),
-                       as_text("e").alias("edited_fingerprint"), "edited", "next")
+    rows = rows.withColumn("e", digests(F.col("edited_text"))).withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text").withColumn("se", sketch("e"))
+    rows = compare(rows, "d", "e", "sd", "se", "greatest(size(d), size(e))", "edited")
+    rows = compare(rows, "d", "next_d", "sd", "next_sd", "size(d) + size(next_d)", "next")
+    return rows.select("doc_id", "n_chars", "edited_sha256", as_text("sd").alias("fingerprint"),
+                       as_text("se").alias("edited_fingerprint"), "edited", "next")
 
 
 def report(docs: DataFrame) -> DataFrame:

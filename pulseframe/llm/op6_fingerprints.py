@@ -111,22 +111,22 @@ def _together(groups: str, a: str = _NONE, b: str = _NONE) -> str:
             f"'b', concat({b}, {flat('b')}), 'left', {flat('left')})), 1)")
 
 
-def _dealt(part: str, n: str, value: str, at: str) -> str:
-    """SQL: the digests of both sides whose bits below ``n``, from the bit ``at`` on, have the value."""
-    side = lambda x: f"filter({part}.{x}, y -> (y & shiftleft({n} - 1, {at})) = shiftleft({value}, {at}))"
-    return f"named_struct('a', {side('a')}, 'b', {side('b')})"
+def _dealt(a: str, b: str, mask: str, value: str) -> str:
+    """SQL: the digests of both sides whose masked bits have the value."""
+    side = lambda x: f"filter({x}, y -> (y & {mask}) = {value})"
+    return f"named_struct('a', {side(a)}, 'b', {side(b)})"
 
 
 def _larger(a: str, b: str) -> str:
-    """SQL: the differences by sketches of ``_high * _low`` tables, and by four for each that fails, until none does.
+    """SQL: the differences by a sketch of a table per value of the bits in ``_high`` and ``_low``, and by four for each that fails, until none does.
 
     Digests are dealt to the tables in two steps, so that a long text costs little more than its length.
     """
-    groups = (f"flatten(transform(sequence(0L, _high - 1), h -> element_at(transform(array({_dealt(f'named_struct({chr(39)}a{chr(39)}, {a}, {chr(39)}b{chr(39)}, {b})', '_high', 'h', '38')}), "
-              f"w -> transform(sequence(0L, _low - 1), l -> {_dealt('w', '_low', 'l', '46')})), 1)))")
+    groups = (f"flatten(transform(sequence(0L, _high, {1 << 38}L), h -> element_at(transform(array({_dealt(a, b, '_high', 'h')}), "
+              f"w -> transform(sequence(0L, _low, {1 << 46}L), l -> {_dealt('w.a', 'w.b', '_low', 'l')})), 1)))")
     first = _together(f"transform({groups}, g -> {_tried('g', ROWS * BITS)})")
     at = "(18 + 8 * i + 2 * (i div 8)) % 64"  # all pairs of bits in 32 steps, and cells by other bits than before for the first few
-    quarters = f"flatten(transform(t.left, g -> transform(array(0L, 1L, 2L, 3L), u -> {_dealt('g', '4L', 'u', f'cast({at} AS int)')})))"
+    quarters = f"flatten(transform(t.left, g -> transform(array(0L, 1L, 2L, 3L), u -> {_dealt('g.a', 'g.b', f'shiftleft(3L, cast({at} AS int))', f'shiftleft(u, cast({at} AS int))')})))"
     again = _together(f"transform({quarters}, g -> {_tried('g', f'cast({at} + 2 AS int)')})", "t.a", "t.b")
     return f"aggregate(sequence(0, {RETRIES - 1}), {first}, (t, i) -> if(size(t.left) = 0, t, {again}))"
 
@@ -145,8 +145,8 @@ def compare(df: DataFrame, a: str, b: str, sketch_a: str, sketch_b: str, expecte
     without pieces are alike.
     """
     groups = f"cast(pow(2, ceil(log2(greatest(1, ({expected}) / {LOAD})))) AS bigint)"
-    out = df.withColumn("_high", F.expr(f"cast(pow(2, floor(log2({groups}) / 2)) AS bigint)"))
-    out = out.withColumn("_low", F.expr(f"{groups} div _high"))
+    high = f"cast(pow(2, floor(log2({groups}) / 2)) AS bigint)"
+    out = df.withColumn("_high", F.expr(f"shiftleft({high} - 1, 38)")).withColumn("_low", F.expr(f"shiftleft({groups} div {high} - 1, 46)"))
     out = out.withColumn("_found", F.expr(
         f"element_at(transform(array({_peeled(_subtracted(sketch_a, sketch_b))}), f -> if({_WHOLE.format('f')}, "
         f"named_struct('a', f.a, 'b', f.b, 'larger', false), element_at(transform(array({_larger(a, b)}), "

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions import text as tx
 from pulseframe.operators import forest, gram, quality, training
+from pulseframe.plans import jobs
 
 NAMES = ["a", "b", "c", "d"]
 
@@ -247,3 +248,9 @@ def test_normal_scores_on_odd_values(spark):
     got = [r["x"] for r in scaling.quantile_normal(df).orderBy("x").collect()]
     assert got[0] is None and math.isnan(got[-1]) and got[1] == got[40] == pytest.approx(-5.199337582) and got[-2] == pytest.approx(5.199337582)
     assert got[1:-1] == sorted(got[1:-1])
+
+
+def test_training_job_with_a_family_of_trees(frame, tmp_path):
+    rows = frame.withColumn("k", F.col("k").cast("int"))
+    out = jobs.training_job(rows, ["id"], NAMES, "k", str(tmp_path), "2024-01-31 00:00:00", {"random_forest": {"numTrees": [2], "maxDepth": [2]}}, k=2).first()
+    assert out["is_best"] and 0.5 < out["cv_roc_auc_mean"] <= 1 and out["cv_roc_auc_std"] >= 0

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -254,3 +255,20 @@ def test_training_job_with_a_family_of_trees(frame, tmp_path):
     rows = frame.withColumn("k", F.col("k").cast("int"))
     out = jobs.training_job(rows, ["id"], NAMES, "k", str(tmp_path), "2024-01-31 00:00:00", {"random_forest": {"numTrees": [2], "maxDepth": [2]}}, k=2).first()
     assert out["is_best"] and 0.5 < out["cv_roc_auc_mean"] <= 1 and out["cv_roc_auc_std"] >= 0
+
+
+def test_a_dropped_feature_weighs_rows_on_the_way_to_its_nodes_only(monkeypatch):
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 16, (3_000, 9)).astype(np.uint8)
+    y = (codes[:, 0] + codes[:, 1] + rng.integers(0, 8, 3_000) > 18).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(y), pa.array(rng.choice([1, 2, 40], 3_000))], names=["bins", "y", "n"])
+    weighed, real = [], forest._weights
+    monkeypatch.setattr(forest, "add_up", lambda table, kernel: {k: v.astype(np.float64) for k, v in kernel(batch)})
+    monkeypatch.setattr(forest, "_weights", lambda key, n, draw: weighed.append(len(key)) or real(key, n, draw))
+    data = forest.Binned(None, [f"f{i}" for i in range(9)], [0.0, 1.0], 16)
+    kept = forest.Forest(data, data.features, 10, 5)
+    assert sum(weighed) == 10 * 5 * 3_000
+    weighed.clear()
+    kept.drop(["f8"])
+    assert 0 < sum(weighed) < 0.9 * len(weighed) * 3_000

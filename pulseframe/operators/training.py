@@ -239,6 +239,15 @@ def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], keep:
     return scored.select(*cols)
 
 
+def held_out_scores(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, kind: str, **params) -> DataFrame:
+    """Label and score of the test rows by a classifier of the training rows.
+
+    They are written, so that what is made of them is a plan over plain columns that takes no model to the tasks.
+    """
+    model = fit(train, features, label, kind, "classification", **params)
+    return materialize(predict(model, test, features, [label], "score"), "held_out")
+
+
 def score_batch(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Sequence[str], key: str,
                 version: str) -> DataFrame:
     """Score, category, confidence, version and a repeatable prediction id per row."""

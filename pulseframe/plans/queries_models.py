@@ -10,7 +10,7 @@ from pulseframe.plans import jobs
 from pulseframe.plans.catalog import query
 from pulseframe.plans.frames import Tables
 from pulseframe.plans.queries_tables import AS_OF, rounded
-from pulseframe.session import work_dir
+from pulseframe.session import materialize, work_dir
 
 SURVEY_FEATURES = ("Age", "BMI", "Smoking", "HighBP", "HighChol", "Diabetes", "PhysActivity", "PhysHlth", "MentHlth")
 
@@ -264,12 +264,11 @@ def _(t: Tables):
 @query("m2_classifiers")
 def _(t: Tables):
     """Every family on the training side, judged on the test side."""
-    split = training.stratified_split(t.survey, ["sid"], "HeartDisease")
+    split = materialize(training.stratified_split(t.survey, ["sid"], "HeartDisease"), "split")
     train, test = split.where("not is_test"), split.where("is_test")
     out = None
-    for kind, params in [(k, {}) for k in ("logistic_regression", "linear_svm", "random_forest", "gradient_boosting")]:
-        model = training.fit(train, SURVEY_FEATURES, "HeartDisease", kind, "classification", **params)
-        scored = training.predict(model, test, SURVEY_FEATURES, ["HeartDisease"], "score")
+    for kind in ("logistic_regression", "linear_svm", "random_forest", "gradient_boosting"):
+        scored = training.held_out_scores(train, test, SURVEY_FEATURES, "HeartDisease", kind)
         one = evaluation.roc_auc(scored, "HeartDisease", "score").select(F.lit(kind).alias("model"), F.round("roc_auc", 6).alias("roc_auc"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -257,6 +257,12 @@ def test_training_job_with_a_family_of_trees(frame, tmp_path):
     assert out["is_best"] and 0.5 < out["cv_roc_auc_mean"] <= 1 and out["cv_roc_auc_std"] >= 0
 
 
+def test_held_out_scores_leave_the_model_out_of_the_plan(frame):
+    scored = training.held_out_scores(frame.where("id % 3 > 0"), frame.where("id % 3 = 0"), NAMES, "k", "random_forest", numTrees=2, maxDepth=2)
+    assert scored.count() == 300 and scored.where("score between 0 and 1").count() == 300
+    assert "UDF" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_dropped_feature_weighs_rows_on_the_way_to_its_nodes_only(monkeypatch):
     rng = np.random.default_rng(4)
     codes = rng.integers(0, 16, (3_000, 9)).astype(np.uint8)

@@ -87,8 +87,10 @@ def stream_score(df: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> Dat
     return scorer(df)
 
 
-#: A time so early that any row may follow it, and the bytes of a key's rows that a stream worker holds in memory.
+#: A time so early that any row may follow it, and the bytes of a group's rows that a stream worker holds in memory.
 _NEVER, HELD_BYTES = -(2 ** 62), 16_000_000
+#: Groups that a stream's keys are dealt into by hash: each has one state, which holds the keys that are live.
+TTL_GROUPS = 1_024
 
 
 def _ttl_filter(at: np.ndarray, last: int | None, ttl: int) -> tuple[np.ndarray, int | None]:
@@ -101,6 +103,14 @@ def _ttl_filter(at: np.ndarray, last: int | None, ttl: int) -> tuple[np.ndarray,
     return kept, last
 
 
+def _ttl_key(df: DataFrame, keys: list[str]):
+    """The key columns as one string: equal for the rows that a grouping by them puts together."""
+    floating = (T.FloatType, T.DoubleType)
+    cols = [(F.col(k) + F.lit(0).cast(df.schema[k].dataType)).alias(k) if isinstance(df.schema[k].dataType, floating) else F.col(k) for k in keys]  # -0.0 is 0.0
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return F.to_json(F.struct(*cols), exact)
+
+
 def dedup_ttl(df: DataFrame, keys: list[str], ts: str = "ts", tie: str | None = None, seconds: int = 1800,
               delay: str = "30 minutes") -> DataFrame:
     """A row goes through when none of its key did in the ``seconds`` before it.
@@ -110,44 +120,54 @@ def dedup_ttl(df: DataFrame, keys: list[str], ts: str = "ts", tie: str | None =
     its end. Rows of one micro-batch are taken in order of time and ``tie``. A row without a
     time repeats none and goes through.
 
-    Of a key's rows in a micro-batch the distinct times and the rows let through are in
+    Keys are dealt into groups by hash, as a call of a worker costs some milliseconds: a call takes a group's keys
+    together. Of a group's rows in a micro-batch the distinct keys and times and the rows let through are in
     memory; the rows wait in a temporary file of the worker when they are many.
     """
     ttl = seconds * 1_000_000
-    order = ["_at", tie] if tie else ["_at"]
-    rows = _marked(df, ts, delay).withColumn("_at", F.unix_micros(ts))
+    order = ["_code", "_at", tie] if tie else ["_code", "_at"]
+    rows = _marked(df, ts, delay).withColumns({"_at": F.unix_micros(ts), "_key": _ttl_key(df, keys)})
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(TTL_GROUPS)).cast("int"))
+    added = ["_at", "_key", "_group"]
 
     def run(_, batches, state):
-        if state.hasTimedOut:
+        last = dict(zip(*state.get)) if state.exists else {}
+        if not state.hasTimedOut:
+            with tempfile.SpooledTemporaryFile(HELD_BYTES) as waiting:
+                codes, spots = {}, []
+                for rows in batches:
+                    at, names = pd.factorize(rows["_key"])
+                    rows["_code"] = np.array([codes.setdefault(k, len(codes)) for k in names], np.int64)[at]
+                    timed = rows["_at"].notna()
+                    if not timed.all():
+                        yield rows[~timed].drop(columns=[*added, "_code"])
+                    rows = rows[timed].astype({"_at": "int64"}).drop(columns=["_key", "_group"])
+                    pickle.dump(rows, waiting, pickle.HIGHEST_PROTOCOL)
+                    spots.append(rows[["_code", "_at"]].drop_duplicates())
+                spot = pd.concat(spots).drop_duplicates().sort_values(["_code", "_at"])
+                code, at = spot["_code"].to_numpy(), spot["_at"].to_numpy()
+                names, kept = list(codes), np.zeros(len(at), bool)
+                first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[:len(code)])
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(code)]):
+                    key = names[code[a]]
+                    kept[a:b], last[key] = _ttl_filter(at[a:b], last.get(key), ttl)
+                spot, through = spot[kept], []
+                waiting.seek(0)
+                for _ in spots:
+                    through.append(pickle.load(waiting).merge(spot, on=["_code", "_at"]))
+                    through = [pd.concat(through).sort_values(order, kind="stable").drop_duplicates(["_code", "_at"])]
+                if through and len(through[0]):
+                    yield through[0].drop(columns=["_code", "_at"])
+        mark = state.getCurrentWatermarkMs()
+        live = {k: t for k, t in last.items() if (t + ttl) // 1000 > mark}
+        if live:
+            state.update((list(live), list(live.values())))
+            state.setTimeoutTimestamp((min(live.values()) + ttl) // 1000)
+        elif state.exists:
             state.remove()
-            return
-        with tempfile.SpooledTemporaryFile(HELD_BYTES) as waiting:
-            times = []
-            for rows in batches:
-                pickle.dump(rows, waiting, pickle.HIGHEST_PROTOCOL)
-                times.append(np.unique(rows["_at"].dropna().to_numpy(np.int64)))
-            at = np.unique(np.concatenate(times))
-            kept, last = _ttl_filter(at, state.get[0] if state.exists else None, ttl)
-            if last is not None:
-                end, mark = (last + ttl) // 1000, state.getCurrentWatermarkMs()
-                if end > mark:
-                    state.update((last,))
-                    state.setTimeoutTimestamp(end)
-                elif state.exists:
-                    state.remove()
-            waiting.seek(0)
-            through = []
-            for _ in times:
-                rows = pickle.load(waiting)
-                timeless = rows["_at"].isna()
-                if timeless.any():
-                    yield rows[timeless].drop(columns="_at")
-                through.append(rows[rows["_at"].isin(at[kept])])
-                through = [pd.concat(through).sort_values(order, kind="stable").drop_duplicates("_at")]
-        yield through[0].drop(columns="_at")
-
-    out = T.StructType([f for f in rows.schema if f.name != "_at"])
-    return rows.groupBy(*keys).applyInPandasWithState(run, out, "last long", "append", "EventTimeTimeout")
+
+    out = T.StructType([f for f in rows.schema if f.name not in added])
+    return rows.groupBy("_group").applyInPandasWithState(run, out, "keys array<string>, last array<long>", "append", "EventTimeTimeout")
 
 
 def _ttl_steps(at: np.ndarray, since: int, ttl: int) -> tuple[list[int], list[int]]:

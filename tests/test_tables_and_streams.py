@@ -201,6 +201,25 @@ def test_rows_without_a_time_go_through(spark, tmp_path, monkeypatch):
     assert sorted(r["value"] for r in out.collect()) == [0, 1, 3, 4, 5, 6]
 
 
+def test_keys_of_a_group_share_a_state_and_keep_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "TTL_GROUPS", 2)
+    draw = random.Random(4)
+    rows = sorted([(draw.choice([None, *range(12)]), ts("2024-01-01") + dt.timedelta(seconds=draw.randrange(7_200)), v) for v in range(400)], key=lambda r: (r[1], r[2]))
+    schema = spark.createDataFrame([], EVENTS).schema
+    for part in (rows[:150], rows[150:300], rows[300:]):
+        _land(spark, f"{tmp_path}/land", part)
+        stream = streams.file_stream(spark, f"{tmp_path}/land", schema)
+        out = streams.run_to_table(streams.dedup_ttl(stream, ["user_id"], tie="value"), "ttl", path=f"{tmp_path}")
+    assert sorted(r["value"] for r in out.collect()) == _brute_ttl(rows, 1800)
+    assert spark.read.format("statestore").load(f"{tmp_path}/state").count() <= 2  # not one for each of 13 keys
+
+
+def test_a_key_is_told_from_one_that_is_nearly_equal(spark):
+    df = spark.createDataFrame([(0.0, dt.datetime(2024, 1, 1, 0, 0, 0, 1)), (-0.0, dt.datetime(2024, 1, 1, 0, 0, 0, 1)), (0.0, dt.datetime(2024, 1, 1, 0, 0, 0, 2)), (None, None)], "a double, b timestamp")
+    keys = [r[0] for r in df.select(streams._ttl_key(df, ["a", "b"])).collect()]
+    assert keys[0] == keys[1] and len(set(keys)) == 3 and None not in keys
+
+
 def test_an_older_version_never_replaces_a_newer_one(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(streams, "COMPACT_EVERY", 2)
     schema = spark.createDataFrame([], EVENTS).schema

@@ -535,5 +535,8 @@ def list_models(path: str, spark) -> DataFrame:
 
 
 def evaluate_regression(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    scored = predict(model, df, features, [label], "p")
+    """Figures of the errors; rows are dealt out, and scored once for the several passes over the errors."""
+    rows = df.select(*[c for c in dict.fromkeys([label, *features]) if c in df.columns])
+    rows = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // 100_000)))
+    scored = materialize(predict(model, rows, features, [label], "p"), "scored")
     return evaluation.regression_metrics(scored, label, "p")

@@ -278,3 +278,28 @@ def test_a_dropped_feature_weighs_rows_on_the_way_to_its_nodes_only(monkeypatch)
     weighed.clear()
     kept.drop(["f8"])
     assert 0 < sum(weighed) < 0.9 * len(weighed) * 3_000
+
+
+def test_forests_keep_the_nodes_of_rows_from_level_to_level(spark, frame):
+    assert all(make("random_forest", 10).getCacheNodeIds() for make in (training.classifier, training.regressor))
+    weights = []
+    for kept in (True, False):
+        model = training.fit(frame, NAMES, "k", "random_forest", "classification", numTrees=5, maxDepth=4, cacheNodeIds=kept)
+        weights.append([r["weight"] for r in training.importance_table(model, NAMES, spark).collect()])
+    assert weights[0] == weights[1] and max(weights[0]) > 0
+
+
+def test_rows_are_scored_once_for_all_figures_of_their_errors(spark, frame, monkeypatch):
+    scored, predict = spark.sparkContext.accumulator(0), training.predict
+
+    def counted(*args):
+        @F.udf("double")
+        def seen(x):
+            scored.add(1)
+            return x
+        return predict(*args).withColumn("p", seen.asNondeterministic()("p"))
+
+    monkeypatch.setattr(training, "predict", counted)
+    model = training.fit(frame, NAMES, "k", "random_forest", numTrees=2, maxDepth=2)
+    row = training.evaluate_regression(model, frame.drop(NAMES[-1]), NAMES, "k").first()
+    assert row["mse"] >= 0 and scored.value == frame.count()  # a missing column is read as 0

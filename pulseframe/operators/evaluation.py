@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pulseframe.functions import risk
 from pulseframe.functions.binning import count_below
 from pulseframe.operators import ordered, stats
+from pulseframe.session import materialize
 
 CLASSES = ("low", "medium", "high")
 TINY = 2.220446049250313e-16
@@ -153,11 +154,43 @@ def score_cells(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
 
 
+#: Shares of a group's scores at which they may be cut; one score of so many is looked at to find them.
+CUTS, ONE_OF = 256, 16
+
+
+def _cut(rows: DataFrame, score: str, by: Sequence[str], chunk_rows: int) -> DataFrame:
+    """Add ``_chunk``, from 0 in order of a group's scores: some ``chunk_rows`` rows each, equal scores together.
+
+    Chunks end at approximate quantiles of scores chosen by their hash. These decide nothing but the sizes of the chunks, and all rows are in one.
+    """
+    shares, few = [i / CUTS for i in range(1, CUTS)], F.pmod(F.xxhash64(score), F.lit(ONE_OF)) == 0
+    marks = rows.where(few).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(score, shares, 4 * CUTS).alias("_marks"))
+    marks = materialize(marks, "marks")
+    parts = min(CUTS, -(-(marks.agg(F.max("_n")).first()[0] or 0) * ONE_OF // chunk_rows))
+    if parts <= 1:
+        return rows.withColumn("_chunk", F.lit(0))
+    ends = F.array(*[F.col("_marks")[CUTS * i // parts - 1] for i in range(1, parts)])
+    small = marks.where("_marks is not null").select(*[F.col(b).alias(f"_b_{b}") for b in by], ends.alias("_ends"))
+    match = F.lit(True)
+    for b in by:
+        match = match & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
+    chunk = F.when(F.col("_ends").isNull(), 0).otherwise(F.size(F.filter("_ends", lambda e: e < F.col(score))))
+    return rows.join(small, match, "left").withColumn("_chunk", chunk).drop("_ends", *[f"_b_{b}" for b in by])
+
+
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (), chunk_rows=ordered.CHUNK_ROWS) -> DataFrame:
-    """Area under the ROC curve with ties counted half; null where a class is missing."""
-    cells = score_cells(df, label, score, by)
-    ran = ordered.running_totals(cells, "score", {"neg_upto": "neg"}, by=by, chunk_rows=chunk_rows)
-    wins = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
+    """Area under the ROC curve with ties counted half; null where a class is missing.
+
+    Chunks of a group's scores are ordered by themselves; of those before it a chunk needs the negatives only.
+    """
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*by, F.col(label).alias("_y"), F.col(score).alias("_s"))
+    cells = score_cells(_cut(rows, "_s", by, chunk_rows), "_y", "_s", [*by, "_chunk"])
+    inside = Window.partitionBy(*by, "_chunk").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wins = F.col("pos") * (F.sum("neg").over(inside) - F.col("neg") / 2)
+    chunks = cells.withColumn("_wins", wins).groupBy(*by, "_chunk").agg(F.sum("_wins").alias("_wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ran = chunks.withColumn("_before", F.coalesce(F.sum("neg").over(earlier), F.lit(0)))
+    wins = F.sum(F.col("_wins") + F.col("pos") * F.col("_before"))
     p, n = F.sum("pos"), F.sum("neg")
     area = F.when((p > 0) & (n > 0), wins / (p.cast("double") * n)).alias("roc_auc")
     return (ran.groupBy(*by) if by else ran).agg(area, p.alias("positives"), n.alias("negatives"))

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Numbers of a block of sums.
-BLOCK = 65_536
+#: Numbers of a block of sums, and rows that a logistic round takes at once.
+BLOCK, SLICE = 65_536, 1_024
 #: Distribution function of a Poisson number of mean 1.
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 
@@ -195,17 +195,27 @@ def logistic(rows: DataFrame, features: Sequence[str], label: str, fold: str | N
                          F.col(label).cast("double").alias("y"), (F.col(fold) if fold else F.lit(0)).cast("int").alias("g"))
     names = narrow.columns[:d]
 
+    one, two = np.triu_indices(d + 1)
+
     def scan(weights: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        held = np.array([-1 if tasks[k].held is None else tasks[k].held for k in weights])  # folds are from 0 on
+        models = np.column_stack(list(weights.values()))
+
         def kernel(batch: pa.RecordBatch):
             x = np.column_stack([columns_of(batch, names), np.ones(batch.num_rows)])
             y, g = (batch.column(k).to_numpy(zero_copy_only=False) for k in (d, d + 1))
-            for k, w in weights.items():
-                at = slice(None) if tasks[k].held is None else g != tasks[k].held
-                u, v = x[at], y[at]
-                z = u @ w
-                p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-                loss = (np.logaddexp(0, z) - v * z).sum()
-                yield k, np.concatenate([[len(v), loss], u.T @ (p - v), ((u * (p * (1 - p))[:, None]).T @ u).ravel()])
+            total = 0.0
+            for a in range(0, len(x), SLICE):  # all models side by side, in slices that stay in the cache
+                u, v, in_ = x[a:a + SLICE], y[a:a + SLICE, None], (g[a:a + SLICE, None] != held).astype(np.float64)
+                z = u @ models
+                e = np.exp(-np.abs(z))
+                p = np.where(z >= 0, 1.0, e) / (1 + e)
+                loss = ((np.log1p(e) + np.maximum(z, 0) - v * z) * in_).sum(axis=0)
+                total = total + np.vstack([in_.sum(axis=0), loss, u.T @ ((p - v) * in_), (u[:, one] * u[:, two]).T @ (p * (1 - p) * in_)])
+            for k, flat in zip(weights, total.T):
+                curve = np.empty((d + 1, d + 1))
+                curve[one, two] = curve[two, one] = flat[d + 3:]
+                yield k, np.concatenate([flat[:d + 3], curve.ravel()])
         return add_up(narrow, kernel)
 
     penalised = np.arange(d + 1) < d

@@ -363,7 +363,7 @@ def _linear_scores(ready: DataFrame, z: Sequence[str], k: int, kind: str, n: int
 
 def _logistic_scores(ready: DataFrame, z: Sequence[str], k: int, n: int, settings: Sequence[Mapping]) -> list[list[float]]:
     """Areas under the ROC curve of every setting on every fold; the fits share their scans."""
-    ready = spread(materialize(ready, "folds"))
+    ready = materialize(spread(ready), "folds")  # dealt once, read by every round
     folds = sorted(r["fold"] for r in ready.select("fold").distinct().collect())  # k of them
     tasks = [gram.Task(f, s.get("regParam", 1.0 / max(n, 1)), s.get("elasticNetParam", 0.0)) for s in settings for f in folds]
     models = gram.logistic(ready, z, "label", "fold", tasks)

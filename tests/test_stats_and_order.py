@@ -192,3 +192,22 @@ def test_threshold_sweep_matches_direct_counts(spark):
         fn = sum(y and s < r["threshold"] for _, y, s in rows)
         assert r["precision"] == pytest.approx(tp / (tp + fp) if tp + fp else 0.0)
         assert r["recall"] == pytest.approx(tp / (tp + fn))
+
+
+def test_area_under_roc_writes_no_scores(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(ordered, "materialize", lambda df, name="": written.append(name) or df)
+    draw = random.Random(8)
+    rows = [(g, draw.choice([0, 1]), draw.choice([0.5, -0.0, 0.0, float("nan"), draw.random()])) for g in ("a", None) for _ in range(300)]
+    rows += [("b", 1, 0.5), ("b", 1, 0.6), ("a", None, 0.5), ("a", 1, None)]
+    df = spark.createDataFrame(rows, "g string, y int, s double")
+    rank = lambda x: (x != x, x if x == x else 0.0)  # noqa: E731  NaN is above all
+    for chunk in (7, 1_000):
+        got = {r["g"]: r for r in evaluation.roc_auc(df, "y", "s", ["g"], chunk).collect()}
+        for g in ("a", None):
+            pos, neg = ([rank(s) for h, y, s in rows if h == g and y == k and s is not None] for k in (1, 0))
+            wins = sum((p > n) + (p == n) / 2 for p in pos for n in neg)
+            assert got[g]["roc_auc"] == pytest.approx(wins / (len(pos) * len(neg)), abs=1e-12)
+            assert (got[g]["positives"], got[g]["negatives"]) == (len(pos), len(neg))
+        assert got["b"]["roc_auc"] is None and len(got) == 3
+    assert not written

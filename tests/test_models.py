@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from pulseframe.functions import text as tx
-from pulseframe.operators import forest, gram, quality, training
+from pulseframe.operators import boosting, forest, gram, quality, training
 from pulseframe.plans import jobs
 
 NAMES = ["a", "b", "c", "d"]
@@ -303,3 +303,47 @@ def test_rows_are_scored_once_for_all_figures_of_their_errors(spark, frame, monk
     model = training.fit(frame, NAMES, "k", "random_forest", numTrees=2, maxDepth=2)
     row = training.evaluate_regression(model, frame.drop(NAMES[-1]), NAMES, "k").first()
     assert row["mse"] >= 0 and scored.value == frame.count()  # a missing column is read as 0
+
+
+def test_boosted_trees_over_binned_rows_score_as_those_of_spark(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.normal(size=12_000), rng.integers(0, 90, 12_000), rng.integers(0, 20, 12_000), rng.random(12_000) < 0.05, np.ones(12_000)])
+    y = rng.random(12_000) < 1 / (1 + np.exp(-x[:, 0] - (x[:, 1] > 60) * x[:, 3] * 2 + 0.2 * (x[:, 2] % 3)))
+    names = ["a", "b", "c", "d", "e"]
+    rows = spark.createDataFrame([(i, *map(float, r), int(k)) for i, (r, k) in enumerate(zip(x, y))], "id long, a double, b double, c double, d double, e double, k int")
+    rows = training.materialize(rows, "rows")
+    train, test = rows.where("id % 5 > 0 or id < 1500"), rows.where("id % 5 = 0")
+    monkeypatch.setattr(boosting, "LEAST", 2_000)  # several parts
+    got = training.held_out_scores(train, test, names, "k", "gradient_boosting", maxIter=8).collect()
+    model = training.fit(train, names, "k", "gradient_boosting", "classification", maxIter=8)
+    want = training.predict(model, test, names, ["k"], "score").collect()
+    assert sorted((r["k"], r["score"]) for r in got) == [(k, pytest.approx(s, abs=1e-12)) for k, s in sorted((r["k"], r["score"]) for r in want)]
+    with pytest.raises(ValueError):
+        training.held_out_scores(train.withColumn("k", F.col("k") + 1), test, names, "k", "gradient_boosting", maxIter=1)
+
+
+def test_held_out_scores_of_boosted_trees_take_a_job_a_level(spark, frame):
+    spark.sparkContext.setJobGroup("boosted", "boosted")
+    rows = training.materialize(frame.where("k is not null"), "rows")
+    rounds = []
+    for trees in (2, 8):
+        spark.sparkContext.setJobGroup(f"boosted-{trees}", "boosted")
+        training.held_out_scores(rows, rows, NAMES, "k", "gradient_boosting", maxIter=trees)
+        rounds.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boosted-{trees}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert rounds[1] - rounds[0] <= 6 * 3
+
+
+def test_a_split_hashes_its_keys_once_for_all_rounds(spark, frame, monkeypatch):
+    hashed, hash60 = spark.sparkContext.accumulator(0), tx.hash60
+
+    def counted(cols):
+        @F.udf("long")
+        def seen(h):
+            hashed.add(1)
+            return h
+        return seen.asNondeterministic()(hash60(cols))
+
+    monkeypatch.setattr(tx, "hash60", counted)
+    out = training.stratified_split(frame, ["id"], "k")
+    assert hashed.value == frame.count() and out.where("is_test").count() == sum(round(0.2 * r["count"]) for r in frame.groupBy("k").count().collect())

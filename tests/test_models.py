@@ -322,16 +322,13 @@ def test_boosted_trees_over_binned_rows_score_as_those_of_spark(spark, monkeypat
         training.held_out_scores(train.withColumn("k", F.col("k") + 1), test, names, "k", "gradient_boosting", maxIter=1)
 
 
-def test_held_out_scores_of_boosted_trees_take_a_job_a_level(spark, frame):
-    spark.sparkContext.setJobGroup("boosted", "boosted")
-    rows = training.materialize(frame.where("k is not null"), "rows")
-    rounds = []
-    for trees in (2, 8):
-        spark.sparkContext.setJobGroup(f"boosted-{trees}", "boosted")
-        training.held_out_scores(rows, rows, NAMES, "k", "gradient_boosting", maxIter=trees)
-        rounds.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boosted-{trees}")))
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert rounds[1] - rounds[0] <= 6 * 3
+def test_rows_of_equal_bins_are_one_row_of_a_boosting_round(spark):
+    rows = spark.range(5_000).select((F.col("id") % 3).cast("double").alias("a"), (F.col("id") % 4).cast("double").alias("b"), (F.col("id") % 5 > 2).cast("double").alias("y"))
+    model = boosting.Boosted(boosting.spark_cuts(rows, ["a", "b"]), 0.1)
+    assert [c.tolist() for c in model.cuts] == [[0.5, 1.5], [0.5, 1.5, 2.5]]
+    blocks = boosting._binned(rows, ["a", "b"], F.col("y"), model).collect()
+    n, total = (np.concatenate([np.frombuffer(r[c]) for r in blocks]) for c in ("n", "total"))
+    assert len(n) == 12 and n.sum() == 5_000 and total.sum() == -1_000
 
 
 def test_a_split_hashes_its_keys_once_for_all_rounds(spark, frame, monkeypatch):

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from pulseframe.functions import text as tx
-from pulseframe.operators import boosting, forest, gram, quality, training
+from pulseframe.operators import bagged, boosting, forest, gram, quality, training
 from pulseframe.plans import jobs
 
 NAMES = ["a", "b", "c", "d"]
@@ -344,3 +344,37 @@ def test_a_split_hashes_its_keys_once_for_all_rounds(spark, frame, monkeypatch):
     monkeypatch.setattr(tx, "hash60", counted)
     out = training.stratified_split(frame, ["id"], "k")
     assert hashed.value == frame.count() and out.where("is_test").count() == sum(round(0.2 * r["count"]) for r in frame.groupBy("k").count().collect())
+
+
+@pytest.mark.parametrize("task,label,params", [
+    ("classification", "k", {"numTrees": 12, "maxDepth": 9}), ("classification", "three", {"numTrees": 3, "maxDepth": 20, "minInstancesPerNode": 2}),
+    ("regression", "k", {"numTrees": 6, "maxDepth": 4})])
+def test_forests_over_blocks_are_those_of_spark(spark, frame, monkeypatch, task, label, params):
+    rows = frame.select("id", "a", F.floor("b").alias("b"), "c", (F.col("id") % 2).alias("d"), "k", (F.col("k") + (F.col("a") > 1).cast("int")).alias("three"))
+    want = training.fit(rows, NAMES, label, "random_forest", task, cacheNodeIds=True, **params).stages[-1]
+    monkeypatch.setattr(type(training.classifier("random_forest", 1)), "_fit", None)  # Spark's fit keeps its draws as objects
+    monkeypatch.setattr(type(training.regressor("random_forest", 1)), "_fit", None)
+    monkeypatch.setattr(bagged, "BLOCK", 50)
+    got = training.fit(rows, NAMES, label, "random_forest", task, **params)
+    assert got.stages[-1].toDebugString.split("\n")[1:] == want.toDebugString.split("\n")[1:] and type(got.stages[-1]) is type(want)
+    assert got.stages[-1].featureImportances == want.featureImportances
+    assert training.predict(got, rows, NAMES, ["id"]).where("prediction between 0 and 2").count() == 900
+
+
+def test_cuts_are_drawn_from_the_rows_that_spark_samples(spark):
+    from pyspark.ml.regression import DecisionTreeRegressor
+    rows = spark.range(0, 30_000, 1, 5).select((F.col("id") * 7919 % 10_007 / 3).alias("x"), (F.col("id") % 3).cast("double").alias("few"))
+    rows = rows.select("x", "few", F.col("x").alias("label"))
+    tree = DecisionTreeRegressor(maxDepth=30, seed=42).fit(VectorAssembler(inputCols=["x"], outputCol="features").transform(rows))
+    cuts = bagged.spark_cuts(rows, ["x", "few"])
+    assert {float(line.split("<= ")[1].rstrip(")")) for line in tree.toDebugString.split("\n") if "<=" in line} == set(cuts[0].tolist())
+    assert cuts[1].tolist() == [0.5, 1.5]
+
+
+def test_numbers_drawn_as_by_java_and_spark(spark):
+    jvm = spark.sparkContext._jvm
+    for seed in (42, -7, 2 ** 40 + 3):
+        java, ours = jvm.java.util.Random(seed), bagged.JavaRandom(seed)
+        assert [java.nextLong() for _ in range(4)] == [ours.long() for _ in range(4)]
+        spark_s, xor = jvm.org.apache.spark.util.random.XORShiftRandom(seed), bagged.XorShift(seed)
+        assert [spark_s.nextDouble() for _ in range(4)] == [xor.double() for _ in range(4)] and spark_s.nextInt() == xor.int()

@@ -378,3 +378,18 @@ def test_numbers_drawn_as_by_java_and_spark(spark):
         assert [java.nextLong() for _ in range(4)] == [ours.long() for _ in range(4)]
         spark_s, xor = jvm.org.apache.spark.util.random.XORShiftRandom(seed), bagged.XorShift(seed)
         assert [spark_s.nextDouble() for _ in range(4)] == [xor.double() for _ in range(4)] and spark_s.nextInt() == xor.int()
+
+
+def test_boosted_regressions_are_those_of_spark_in_few_jobs(spark, frame, monkeypatch):
+    rows = frame.select("id", F.floor(F.col("a") * 2).alias("a"), (F.col("id") % 3).alias("b"), (F.col("d") > 0).alias("c"), F.lit(1).alias("d"), "y")
+    want = training.fit(rows, NAMES, "y", "gradient_boosting", maxIter=12, maxDepth=3)  # with its depth given, Spark fits it
+    monkeypatch.setattr(type(training.regressor("gradient_boosting", 1)), "_fit", None)
+    passes = []
+    monkeypatch.setattr(boosting.RDD, "mapPartitions", lambda *args: passes.append(args))
+    got = training.fit(rows, NAMES, "y", "gradient_boosting", maxIter=12)
+    assert not passes  # 36 passes over few rows of bins start no job
+    monkeypatch.undo()
+    a, b = (sorted((r["id"], r["prediction"]) for r in training.predict(m, rows, NAMES, ["id"]).collect()) for m in (want, got))
+    assert a == [(i, pytest.approx(p, abs=1e-9)) for i, p in b]
+    one, two = (m.stages[-1] for m in (want, got))
+    assert one.featureImportances.toArray() == pytest.approx(two.featureImportances.toArray()) and list(one.treeWeights) == list(two.treeWeights)
